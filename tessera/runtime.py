@@ -94,3 +94,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def is_local_path(path: str) -> bool:
     return path.startswith(("file:", "/")) and os.path.sep == "/"
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """df marked for broadcasting if a count shows at most ``max_rows`` rows; else as it is, for a shuffle join."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
