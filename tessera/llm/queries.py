@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing
+from tessera.llm import packing, pii
 from tessera.runtime import table
 
 
@@ -12,8 +12,13 @@ def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op4_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op3_curve_packing": op3_curve_packing,
+    "op4_disclosure_pii": op4_disclosure_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
