@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, pii
+from tessera.llm import order_minhash, packing, pii
 from tessera.runtime import table
 
 
@@ -16,9 +16,14 @@ def op4_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_curve_packing": op3_curve_packing,
     "op4_disclosure_pii": op4_disclosure_pii,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}

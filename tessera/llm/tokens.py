@@ -6,12 +6,26 @@ white space, so a text's ids are the ids of its pieces between spaces and line f
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import public_tokenizers
 
 TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = 2
-CACHE = 400_000
+CACHE = 600_000
+#: Two signs in a row are one piece for the splitter, so such texts aren't cut at their full stops and commas.
+_SIGNS = re.compile(r"[.,](?:(?<![^\W_].)|(?!\s|$))")
+_TOGETHER = 400
+
+
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        return bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 class Encoder:
@@ -19,33 +33,44 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
+        self.closes = np.zeros(1 << 16, bool)  # ids that end a word
+        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.cache, self.limit = {"": b""}, cache
 
-    def _ask(self, words: list[str]) -> None:
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+    def _learn(self, words: set[str]) -> None:
+        """Words of letters go through the tokenizer many at a time: each is one piece and has one closing id."""
+        plain = [w for w in words if w.isalpha() and _latin(w)]
+        for at in range(0, len(plain), _TOGETHER * 50):
+            part = plain[at : at + _TOGETHER * 50]
+            lines = [" ".join(part[k : k + _TOGETHER]) for k in range(0, len(part), _TOGETHER)]
+            ids = [np.array(x.ids, "<u2") for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+            ids = np.concatenate(ids)
+            ends = (2 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer doesn't close each word once")
+            flat, start = ids.tobytes(), 0
+            for word, end in zip(part, ends, strict=True):
+                self.cache[word] = flat[start:end]
+                start = end
+        rest = list(words.difference(plain))
+        for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.cache[word] = np.array(got.ids, "<u2").tobytes()
 
     @staticmethod
-    def _parts(word: str) -> tuple[str, str] | None:
-        """Lower-case letters and the full stops, commas or exclamation marks after them, if a word is that."""
-        stem = word.rstrip(".,!")
-        if stem and stem.isalpha() and max(stem) <= "ÿ":
-            return stem.lower(), word[len(stem) :]
-        return None
-
-    def _learn(self, words: set[str]) -> None:
-        split = {w: p for w in words if (p := self._parts(w))}
-        need = {x for p in split.values() for x in p} | (words - split.keys())
-        self._ask(list(need - self.cache.keys()))
-        for w, (stem, rest) in split.items():
-            if w != stem:
-                self.cache[w] = self.cache[stem] + self.cache[rest]
+    def _pieces(text: str | None) -> list[str]:
+        """The text between spaces; Latin texts lower-cased, with single full stops and commas on their own."""
+        if not text:
+            return []
+        if _latin(text) and not _SIGNS.search(text):
+            text = text.lower().replace(".", " .").replace(",", " ,")
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null is empty."""
-        pieces = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        pieces = [self._pieces(t) for t in texts]
         if len(self.cache) > self.limit:
             self.cache = {"": b""}
         if new := set().union(*pieces) - self.cache.keys():
