@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import order_minhash, packing, pii
+from tessera.llm import decontam, order_minhash, packing, pii
 from tessera.runtime import table
 
 
@@ -20,10 +20,36 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_containment_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_curve_packing": op3_curve_packing,
     "op4_disclosure_pii": op4_disclosure_pii,
+    "op5_containment_decontam": op5_containment_decontam,
     "op10_order_minhash": op10_order_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP5_SQL = r"""
+WITH item_words AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+doc_words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+item_shingles AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM item_words WHERE len(w) > 0),
+sizes AS (SELECT item_id, count(*) AS q FROM item_shingles GROUP BY 1),
+widths AS (SELECT DISTINCT least(len(w), 5) AS k FROM item_words WHERE len(w) > 0),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM doc_words, widths WHERE len(w) >= k),
+hits AS (
+  SELECT doc_id, item_id, count(*) AS n FROM doc_shingles JOIN item_shingles USING (s) GROUP BY 1, 2),
+pairs AS (SELECT doc_id, item_id FROM hits JOIN sizes USING (item_id) WHERE 10 * n >= 8 * q),
+grouped AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS item_ids FROM pairs GROUP BY 1)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids
+FROM documents LEFT JOIN grouped USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_containment_decontam": OP5_SQL,
+}
