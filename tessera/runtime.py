@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
@@ -65,27 +66,30 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables in the shared folder that one operator writes, and drops when no later step needs them.
+    """Intermediate results of one operator.
 
-    A written table cuts lineage: after the loss of an executor only the tasks since the last table run again.
+    ``write`` keeps a result on the executors' disks for the steps that follow, with its lineage: after the loss of an
+    executor its partitions are made again. ``cut`` writes a table in the shared folder instead, which ends the
+    lineage; it is for loops, whose plans would grow.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.paths = spark, f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}", {}
+        self.spark, self.base, self.held = spark, f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}", {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}-{len(self.paths)}-{uuid.uuid4().hex[:6]}"
-        df.write.option("compression", "zstd").parquet(path)
-        self.paths.setdefault(name, []).append(path)
+        held = df.persist(StorageLevel.DISK_ONLY)
+        self.held.setdefault(name, []).append(held)
+        return held
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.base}/{name}-{uuid.uuid4().hex[:6]}"
+        df.write.parquet(path)
+        self.held.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        for path in self.paths.get(name, []):
-            delete(self.spark, path)
-        self.paths[name] = []
-
-    def path(self, name: str) -> str:
-        return f"{self.base}/{name}"
+        for one in self.held.pop(name, []):
+            delete(self.spark, one) if isinstance(one, str) else one.unpersist()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
