@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, order_minhash, packing, pii
+from tessera.llm import decontam, order_minhash, packing, pii, toxicity
 from tessera.runtime import table
 
 
@@ -24,10 +24,15 @@ def op5_containment_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_curve_packing": op3_curve_packing,
     "op4_disclosure_pii": op4_disclosure_pii,
     "op5_containment_decontam": op5_containment_decontam,
+    "op6_nearest_toxicity": op6_nearest_toxicity,
     "op10_order_minhash": op10_order_minhash,
 }
 

@@ -33,6 +33,7 @@ class Words(NamedTuple):
     end: np.ndarray
     data: np.ndarray
     row_bytes: np.ndarray  # byte offsets of the rows in data, and its length
+    sums: np.ndarray  # running sums that give the hash of any run of bytes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,7 +96,13 @@ def hashed(data: np.ndarray, row_bytes: np.ndarray, rows: slice) -> Words:
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(_byte_values[data] * _powers[:size], out=sums[1:])
         hashes = mix((sums[end] - sums[begin]) * _inverses[begin])
-    return Words(rows, hashes, np.searchsorted(begin, row_bytes), begin, end, data, row_bytes)
+    return Words(rows, hashes, np.searchsorted(begin, row_bytes), begin, end, data, row_bytes, sums)
+
+
+def runs(w: Words, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of byte runs inside words; with seed 0 those of whole words equal ``hashes``."""
+    with np.errstate(over="ignore"):
+        return mix((w.sums[end] - w.sums[begin]) * _inverses[begin] + np.uint64(seed) * np.uint64(0xA0761D6478BD642F))
 
 
 def shingles(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
