@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, order_minhash, packing, pii, toxicity
+from tessera.llm import decontam, html_main, order_minhash, packing, pii, toxicity
 from tessera.runtime import table
 
 
@@ -28,11 +28,16 @@ def op6_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_tree_scoring_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op3_curve_packing": op3_curve_packing,
     "op4_disclosure_pii": op4_disclosure_pii,
     "op5_containment_decontam": op5_containment_decontam,
     "op6_nearest_toxicity": op6_nearest_toxicity,
+    "op7_tree_scoring_html": op7_tree_scoring_html,
     "op10_order_minhash": op10_order_minhash,
 }
 
