@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, html_main, order_minhash, packing, pii, toxicity
+from tessera.llm import decontam, html_main, order_minhash, packing, pii, quality, toxicity
 from tessera.runtime import table
 
 
@@ -32,12 +32,17 @@ def op7_tree_scoring_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_random_index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_curve_packing": op3_curve_packing,
     "op4_disclosure_pii": op4_disclosure_pii,
     "op5_containment_decontam": op5_containment_decontam,
     "op6_nearest_toxicity": op6_nearest_toxicity,
     "op7_tree_scoring_html": op7_tree_scoring_html,
+    "op8_random_index_quality": op8_random_index_quality,
     "op10_order_minhash": op10_order_minhash,
 }
 

@@ -6,6 +6,7 @@ white space, so a text's ids are the ids of its pieces between spaces and line f
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -13,7 +14,7 @@ import public_tokenizers
 
 TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = 2
-CACHE = 600_000
+CACHE = 800_000
 #: Two signs in a row are one piece for the splitter, so such texts aren't cut at their full stops and commas.
 _SIGNS = re.compile(r"[.,](?:(?<![^\W_].)|(?!\s|$))")
 _TOGETHER = 400
@@ -30,31 +31,34 @@ def _latin(text: str) -> bool:
 
 class Encoder:
     def __init__(self, path: str | None = None, cache: int = CACHE):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
+        spec = json.loads(self.tokenizer.to_str())
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self.light = Tokenizer.from_str(json.dumps(spec))  # the same merges for words that need no other preparation
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}
         self.closes = np.zeros(1 << 16, bool)  # ids that end a word
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.cache, self.limit = {"": b""}, cache
 
     def _learn(self, words: set[str]) -> None:
         """Words of letters go through the tokenizer many at a time: each is one piece and has one closing id."""
-        plain = [w for w in words if w.isalpha() and _latin(w)]
+        plain = [w for w in words if w.isalpha() and w.islower() and _latin(w)]
         for at in range(0, len(plain), _TOGETHER * 50):
             part = plain[at : at + _TOGETHER * 50]
-            lines = [" ".join(part[k : k + _TOGETHER]) for k in range(0, len(part), _TOGETHER)]
-            ids = [np.array(x.ids, "<u2") for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+            lines = [" ".join(part[k : k + _TOGETHER]).translate(self.as_bytes) for k in range(0, len(part), _TOGETHER)]
+            ids = [np.array(x.ids, "<u2") for x in self.light.encode_batch_fast(lines, add_special_tokens=False)]
             ids = np.concatenate(ids)
             ends = (2 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             if len(ends) != len(part):
                 raise ValueError("the tokenizer doesn't close each word once")
-            flat, start = ids.tobytes(), 0
-            for word, end in zip(part, ends, strict=True):
-                self.cache[word] = flat[start:end]
-                start = end
+            flat = ids.tobytes()
+            self.cache.update(zip(part, [flat[a:b] for a, b in zip([0, *ends], ends)], strict=True))
         rest = list(words.difference(plain))
         for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.cache[word] = np.array(got.ids, "<u2").tobytes()
