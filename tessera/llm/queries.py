@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, html_main, order_minhash, packing, pii, quality, toxicity
+from tessera.llm import decontam, html_main, neardup, order_minhash, packing, pii, quality, toxicity
 from tessera.runtime import table
 
 
+def op1_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -37,6 +41,7 @@ def op8_random_index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_odd_sketch_neardup": op1_odd_sketch_neardup,
     "op3_curve_packing": op3_curve_packing,
     "op4_disclosure_pii": op4_disclosure_pii,
     "op5_containment_decontam": op5_containment_decontam,
@@ -65,6 +70,27 @@ SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_it
 FROM documents LEFT JOIN grouped USING (doc_id)
 """
 
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP1_SQL = f"""
+WITH RECURSIVE
+doc_words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [w[1]]
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM doc_words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+hits AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM hits JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN least ON doc_id = x
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_odd_sketch_neardup": OP1_SQL,
     "op5_containment_decontam": OP5_SQL,
 }
