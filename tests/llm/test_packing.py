@@ -22,7 +22,7 @@ def test_hilbert_neighbours_touch():
 
 def test_encoder_equals_the_tokenizer():
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["", None, "The THTH, édé. it's 42!! a\tb c\r\nd", "é ÉÉ <|endoftext|> x<|endoftext|>y", "İstanbul ΣΑΣ. 漢字, ñ!.", " lead  two\n\nthree ", "don't.'s", "ß. œuf. 1.2."]
+    texts = ["", None, "The THTH, édé. it's 42!! a\tb c\r\nd", "é ÉÉ <|endoftext|> x<|endoftext|>y", "İstanbul ΣΑΣ. 漢字, ñ!.", " lead  two\n\nthree ", "don't.'s", "ß. œuf. 1.2.", "A, b... c.", "x. y,", ".a", "wait..", "A.B", "_. a_,", "Été, ça."]
     got = Encoder().encode(texts)
     for t, x in zip(texts, got, strict=True):
         assert np.frombuffer(x, "<u2").tolist() == whole.encode(t or "", add_special_tokens=False).ids
