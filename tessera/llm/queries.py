@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import decontam, html_main, neardup, order_minhash, packing, pii, quality, toxicity
+from tessera.llm import decontam, html_main, linedup, neardup, order_minhash, packing, pii, quality, toxicity
 from tessera.runtime import table
 
 
@@ -12,6 +12,11 @@ def op1_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op2_prefix_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counted=True)
+    return docs.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -42,6 +47,7 @@ def op8_random_index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_odd_sketch_neardup": op1_odd_sketch_neardup,
+    "op2_prefix_linedup": op2_prefix_linedup,
     "op3_curve_packing": op3_curve_packing,
     "op4_disclosure_pii": op4_disclosure_pii,
     "op5_containment_decontam": op5_containment_decontam,
@@ -90,7 +96,29 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM documents LEFT JOIN sizes USING (doc_id) JOIN least ON doc_id = x
 """
 
+OP2_SQL = f"""
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+words AS (SELECT doc_id, line, t, list_distinct({_WORDS.replace("coalesce(text, '')", "t")}) AS w FROM raw),
+ids AS (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS id, len(w) AS n FROM words),
+sets AS (SELECT min(id) AS first, list_sort(w) AS w, any_value(n) AS n FROM ids WHERE n > 0 GROUP BY list_sort(w)),
+tokens AS (SELECT first, n, unnest(w) AS k FROM sets),
+counts AS (SELECT k, count(*) AS c FROM tokens GROUP BY 1),
+ranked AS (SELECT first, n, k, row_number() OVER (PARTITION BY first ORDER BY c, k) AS r FROM tokens JOIN counts USING (k)),
+prefix AS (SELECT first, n, k FROM ranked WHERE r <= n - (80 * n + 99) // 100 + 1),
+pairs AS (
+  SELECT DISTINCT a.first AS x, b.first AS y FROM prefix a JOIN prefix b ON a.k = b.k AND b.first < a.first AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+gone AS (
+  SELECT DISTINCT x FROM pairs JOIN sets a ON x = a.first JOIN sets b ON y = b.first
+  WHERE 180 * len(list_intersect(a.w, b.w)) >= 80 * (a.n + b.n)),
+kept AS (SELECT first AS id FROM sets WHERE first NOT IN (SELECT x FROM gone)),
+marked AS (SELECT ids.*, n = 0 OR kept.id IS NOT NULL AS stays FROM ids LEFT JOIN kept USING (id))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
+  sha256(coalesce(string_agg(t, chr(10) ORDER BY line) FILTER (stays), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_prefix_linedup": OP2_SQL,
     "op1_odd_sketch_neardup": OP1_SQL,
     "op5_containment_decontam": OP5_SQL,
 }
