@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import decontam, html_main, linedup, neardup, order_minhash, packing, pii, quality, toxicity
+from tessera.llm import decontam, html_main, linedup, neardup, order_minhash, packing, pii, quality, toxicity, training_order
 from tessera.runtime import table
 
 
@@ -25,6 +25,10 @@ def op4_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.order(table(spark, sf_dir, "documents"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op6_nearest_toxicity": op6_nearest_toxicity,
     "op7_tree_scoring_html": op7_tree_scoring_html,
     "op8_random_index_quality": op8_random_index_quality,
+    "op9_training_order": op9_training_order,
     "op10_order_minhash": op10_order_minhash,
 }
 
