@@ -19,23 +19,38 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tessera.llm import textbytes
 from tessera.llm.components import components
 from tessera.llm.groups import bounds, runs
-from tessera.llm.neardup import BROADCAST_ROWS, _forest
+from tessera.llm.neardup import BROADCAST_ROWS
 from tessera.runtime import Scratch, broadcast_if_small
 
 PERCENT = 80
 CELLS, _SLABS = 1 << 18, 32
+BROADCAST_LINES = 4_000_000
 #: A list of more sets is dealt into blocks, each pair of which is a list of its own; so is a loose group.
-LIST, GROUP, PIVOTS = 2048, 512, 8
+LIST, BLOCKS, GROUP, PIVOTS = 2048, 64, 512, 8
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's counts of words by cell, in slabs."""
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, same, line, k1, k2) of each line with words, keys of its bag of words; then the task's counts of words by cell, in slabs."""
     total = np.zeros(CELLS, np.int64)
+    names = ["doc_id", "same", "line", "k1", "k2", "counts"]
     for batch in batches:
-        for w in textbytes.words(batch.column(0)):
+        for w in textbytes.words(batch.column(2)):
+            if not len(w.hashes):
+                continue
             total += np.bincount((w.hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+            row, line, place = _tokens(w)
+            at = bounds(place)[:-1]
+            k1, k2 = _bag_keys(w.hashes, at)
+            rows = pa.array(row[at] + w.rows.start)
+            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line[at].astype(np.int32)), pa.array(k1), pa.array(k2), pa.nulls(len(at), pa.binary())], names)
     if total.any():
-        yield pa.record_batch([pa.array(range(_SLABS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, _SLABS)], pa.binary())], ["slab", "counts"])
+        none = pa.nulls(_SLABS, pa.int64())
+        yield pa.record_batch([none, none, pa.array(range(_SLABS), pa.int32()), none, none, pa.array([x.tobytes() for x in np.split(total, _SLABS)], pa.binary())], names)
+
+
+def _bag_keys(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return np.add.reduceat(textbytes.mix(hashes), at).view(np.int64), np.add.reduceat(textbytes.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), at).view(np.int64)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,11 +61,10 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slab", "counts"])
 
 
-def rarity(texts: DataFrame) -> np.ndarray:
+def rarity(slabs: DataFrame) -> np.ndarray:
     """Counts of words by cell over the whole table: an array of fixed size."""
-    schema = "slab int, counts binary"
     out = np.zeros(CELLS, np.int64)
-    for r in texts.mapInArrow(_counts, schema).repartition(_SLABS, "slab").mapInArrow(_summed, schema).collect():
+    for r in slabs.repartition(_SLABS, "slab").mapInArrow(_summed, "slab int, counts binary").collect():
         out[r.slab * (CELLS // _SLABS) : (r.slab + 1) * (CELLS // _SLABS)] += np.frombuffer(bytes(r.counts), np.int64)
     return out
 
@@ -68,99 +82,149 @@ def _tokens(w: textbytes.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, at - breaks[w.row_bytes[row]], at + row
 
 
-def _lines(counts, percent: int):
+_POSTING = np.dtype([("word", "<u4"), ("n", "<u4"), ("place", "<u2"), ("node", "<i8"), ("p1", "<u8"), ("p2", "<u8")])
+
+
+def _postings(counts, percent: int, parts: int):
+    """(text, lines) to packed postings of the prefixes of the chosen lines, by part of their words.
+
+    A word that may have a long list, by its count, is dealt into blocks by node instead, and each pair of blocks is
+    a list of its own. However many blocks there are, every pair of postings of a word meets in one of them.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = counts.value
+        # an eighth of an octave is as fine as the order needs; words of one level are ordered by hash
+        level = np.minimum(8 * np.log2(np.maximum(cells, 1)), 255).astype(np.uint64) << np.uint64(36)
         for batch in batches:
-            for w in textbytes.words(batch.column(2)):
+            for w in textbytes.words(batch.column(0)):
                 if not len(w.hashes):
                     continue
                 row, line, place = _tokens(w)
-                rank = cells[(w.hashes % np.uint64(CELLS)).astype(np.int64)]
-                order = np.lexsort((w.hashes, rank, place))
-                h, p = w.hashes[order], place[order]
+                base = (place - line)[w.starts[:-1].clip(max=len(place) - 1)]
+                lists = batch.column(1).slice(w.rows.start, len(w.starts) - 1)
+                chosen = np.zeros(int(place[-1]) + 2, bool)
+                chosen[np.repeat(base, lists.value_lengths().to_numpy()) + lists.flatten().to_numpy()] = True
+                keep = chosen[place]
+                h, p = w.hashes[keep], place[keep]
+                if not len(h):
+                    continue
+                node, _ = _bag_keys(h, bounds(p)[:-1])
+                rank = level[(h % np.uint64(CELLS)).astype(np.int64)]
+                key = p.astype(np.uint64) << np.uint64(44) | rank | h >> np.uint64(28)
+                order = np.argsort(key) if p[-1] < 1 << 20 else np.lexsort((key << np.uint64(20), p))
+                h, p = h[order], p[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1])
-                h, p, rank, first = h[new], p[new], rank[order][new], order[new]
+                h, p = h[new], p[new]
                 at = bounds(p)
                 n = np.diff(at)
-                with np.errstate(over="ignore"):
-                    k1 = np.add.reduceat(textbytes.mix(h), at[:-1])
-                    k2 = np.add.reduceat(textbytes.mix(h ^ np.uint64(0x5851F42D4C957F2D)), at[:-1])
-                    bit = np.uint64(1) << ((h >> np.uint64(8)) & np.uint64(63))
-                half = (h >> np.uint64(20)) & np.uint64(1) == 1
-                b1 = np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), at[:-1])
-                b2 = np.bitwise_xor.reduceat(np.where(half, np.uint64(0), bit), at[:-1])
+                bit, half = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(1) == 1
+                p1, p2 = (np.bitwise_xor.reduceat(np.where(half == x, bit, np.uint64(0)), at[:-1]) for x in (True, False))
                 size = n + (-percent * n // 100) + 1  # n less the least overlap with any match, and one
-                offsets = np.concatenate([[0], np.cumsum(size)])
-                take = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size) + np.repeat(at[:-1], size)
-                word = (h[take] >> np.uint64(1)).astype(np.int64) * np.where(rank[take] > LIST, -1, 1)  # below zero: perhaps in a long list
-                rows = pa.array(row[first[at[:-1]]] + w.rows.start)
-                signed = lambda x: pa.array(x.view(np.int64))
-                yield pa.record_batch(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line[first[at[:-1]]].astype(np.int32)), signed(k1), signed(k2), pa.array(n.astype(np.int32)), signed(b1), signed(b2), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(word))],
-                    ["doc_id", "same", "line", "k1", "k2", "n", "b1", "b2", "prefix"],
-                )
+                ends = np.cumsum(size)
+                owner = np.repeat(np.arange(len(n)), size)
+                within = np.arange(ends[-1]) - np.repeat(ends - size, size)
+                words = h[at[:-1][owner] + within]
+                long = cells[(words % np.uint64(CELLS)).astype(np.int64)] > LIST
+                made = np.empty(len(words), _POSTING)
+                made["word"], made["n"], made["place"], made["node"], made["p1"], made["p2"] = (words >> np.uint64(33)).astype(np.uint32), n[owner], np.minimum(within, 65535), node[owner], p1[owner], p2[owner]
+                part = (made["word"].astype(np.int64) * 2654435761 >> 7) % parts
+                if long.any():
+                    # each pair of a long list's blocks is a list of its own, below zero
+                    count = np.minimum(-(-cells[(words[long] % np.uint64(CELLS)).astype(np.int64)] // LIST), BLOCKS)
+                    again = np.repeat(np.flatnonzero(long), count)
+                    other = np.arange(len(again)) - np.repeat(np.cumsum(count) - count, count)
+                    with np.errstate(over="ignore"):
+                        own = (textbytes.mix(made["node"][again].view(np.uint64)) % np.repeat(count, count).astype(np.uint64)).astype(np.int64)
+                        pair = textbytes.mix(made["word"][again].astype(np.uint64) << np.uint64(20) | (np.minimum(own, other) << 10 | np.maximum(own, other)).astype(np.uint64))
+                    made = np.concatenate([made[~long], made[again]])
+                    part = np.concatenate([part[~long], -1 - (pair >> np.uint64(1)).astype(np.int64)])
+                order = np.argsort(part, kind="stable")
+                made, part = made[order], part[order]
+                at = bounds(part)
+                yield pa.record_batch([pa.array(part[at[:-1]]), pa.array([made[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["list", "packed"])
 
     return run
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A forest with the components of edges: rows of (node, smallest node by position)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    child = np.flatnonzero(label != np.arange(len(nodes)))
+    return np.stack([nodes[child], nodes[label[child]]], 1)
+
+
 def _loose(percent: int):
-    """Spanning forests of lists: (list, node, n, place, b1, b2) sorted by list."""
+    """Forests of what may match in lists: (list, packed postings) sorted by list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
-            keys, node, n, place = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
-            b1, b2 = (batch.column(k).to_numpy().view(np.uint64) for k in (4, 5))
-            starts = bounds(keys)
-            size = np.diff(starts)
             found = []
-
-            def close(i, j, n=n, place=place, b1=b1, b2=b2):
-                least = needed(n[i], n[j], percent)
-                left = 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1
-                apart = np.bitwise_count(b1[i] ^ b1[j]) + np.bitwise_count(b2[i] ^ b2[j])
-                # words before the shared one may be shared too, where lists of other prefixes find the pair as well
-                return (np.minimum(n[i], n[j]) >= least) & (left + np.minimum(place[i], place[j]) >= least) & (apart <= n[i] + n[j] - 2 * least)
-
-            two = starts[:-1][size == 2]
-            two = two[close(two, two + 1)]
-            found.append(np.stack([node[two], node[two + 1]], 1))
-            for at, m in zip(starts[:-1][size > 2], size[size > 2], strict=True):
-                label = np.arange(m)
-                if m <= 64:
-                    i = np.arange(at, at + m)
-                    label = _forest(close(i[:, None], i[None, :]))
-                else:
-                    for k in range(m):
-                        other = np.flatnonzero(label != label[k])
-                        if len(other) and len(hit := other[close(at + k, at + other)]):
-                            joined = np.unique(np.append(label[hit], label[k]))
-                            label[np.isin(label, joined)] = joined[0]
-                child = np.flatnonzero(label != np.arange(m))
-                found.append(np.stack([node[at + child], node[at + label[child]]], 1))
-            edges = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            edges = edges[edges[:, 0] != edges[:, 1]]
-            yield pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+            keys, packed = batch.column(0).to_numpy(), batch.column(1)
+            starts = bounds(keys)
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                x = np.frombuffer(b"".join(packed.slice(a, b - a).to_pylist()), _POSTING)
+                x = x[np.argsort(x["word"], kind="stable")]
+                word, node, p1, p2 = x["word"], *(np.ascontiguousarray(x[k]) for k in ("node", "p1", "p2"))
+                n, place = x["n"].astype(np.int64), x["place"].astype(np.int64)
+                at = bounds(word)
+                size = np.diff(at)
+                for m in np.unique(size[size > 1]):
+                    lists = at[:-1][size == m]
+                    p, q = np.triu_indices(m, 1)
+                    step = max(1, (1 << 21) // len(p))
+                    for k in range(0, len(lists), step):
+                        for c in range(0, len(p), 1 << 21):
+                            i = (lists[k : k + step, None] + p[None, c : c + (1 << 21)]).ravel()
+                            j = (lists[k : k + step, None] + q[None, c : c + (1 << 21)]).ravel()
+                            fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                            i, j = i[fits], j[fits]
+                            least = needed(n[i], n[j], percent)
+                            # a match shares a word of what its own overlap leaves of both prefixes
+                            fits = (place[i] <= n[i] - least) & (place[j] <= n[j] - least)
+                            i, j, least = i[fits], j[fits], least[fits]
+                            apart = np.bitwise_count(p1[i] ^ p1[j]).astype(np.int64) + np.bitwise_count(p2[i] ^ p2[j])
+                            fits = apart <= n[i] + n[j] - 2 * least
+                            if fits.any():
+                                found.append(np.stack([node[i[fits]], node[j[fits]]], 1))
+                if sum(map(len, found)) > 1 << 20:
+                    found = [_stars(*np.concatenate(found).T)]
+            if found:
+                edges = _stars(*np.concatenate(found).T)
+                yield pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     return run
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of chosen lines: (doc_id, same, lines, text) to (doc_id, same, line, sorted word hashes)."""
+    """Chosen lines: (doc_id, same, [(line, component, part, parts)], text) to a row for each with the line's text."""
+    names = ["component", "part", "parts", "doc_id", "same", "line", "words"]
     for batch in batches:
-        chosen = batch.column(2).to_pylist()
+        chosen = [{x["line"]: x for x in row} for row in batch.column(2).to_pylist()]
+        ids, sames = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for w in textbytes.words(batch.column(3)):
+            if not len(w.hashes):
+                continue
             row, line, place = _tokens(w)
-            at = bounds(place) if len(place) else np.zeros(1, int)
+            at = bounds(place)
             out = []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                r = int(row[a]) + w.rows.start
-                if int(line[a]) in chosen[r]:
-                    out.append((r, int(line[a]), np.unique(w.hashes[a:b]).tobytes()))
+            for a, b, r, k in zip(at[:-1], at[1:], (row[at[:-1]] + w.rows.start).tolist(), line[at[:-1]].tolist(), strict=True):
+                if (x := chosen[r].get(k)) is not None:
+                    out.append((x["component"], x["part"], x["parts"], ids[r], sames[r], k, w.data[w.begin[a] : w.end[b - 1]].tobytes()))
             if out:
-                rows = pa.array([r for r, _, _ in out])
-                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([x for _, x, _ in out], pa.int32()), pa.array([x for _, _, x in out], pa.binary())], ["doc_id", "same", "line", "words"])
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
 
 def _matched(percent: int):
@@ -172,7 +236,7 @@ def _matched(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
             keys, role = (batch.column(k).to_numpy() for k in range(2))
-            flat = [np.frombuffer(x, np.uint64) for x in batch.column(5).to_pylist()]
+            flat = [np.unique(w.hashes[a:b]) for w in textbytes.words(batch.column(5).cast(pa.large_binary()).cast(pa.large_string())) for a, b in zip(w.starts[:-1], w.starts[1:], strict=True)]
             docs, sames, lines = (batch.column(k).to_numpy() for k in (2, 3, 4))
             starts, gone = bounds(keys), []
             for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -181,12 +245,14 @@ def _matched(percent: int):
                 every, where = np.unique(np.concatenate(flat[a:b]), return_inverse=True)
                 n = np.array([len(x) for x in flat[a:b]])
                 at = np.concatenate([[0], np.cumsum(n)])
+                moved = (docs[a + 1 : b] != docs[a : b - 1]) | (sames[a + 1 : b] != sames[a : b - 1]) | (lines[a + 1 : b] != lines[a : b - 1])
+                spot = np.concatenate([[0], np.cumsum(moved)])  # repeated rows share a place
                 mark = np.zeros(len(every), bool)
                 for i in range(1, b - a):
                     if role[a + i] == 1:
                         continue
                     j = np.arange(i)
-                    j = j[((role[a + j] == 0) | (role[a + i] == 0) & (role[a + j] == 1)) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))]
+                    j = j[(spot[j] < spot[i]) & ((role[a + j] == 0) | (role[a + i] == 0) & (role[a + j] == 1)) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))]
                     if not len(j):
                         continue
                     mark[where[at[i] : at[i + 1]]] = True
@@ -215,29 +281,27 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "linedup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("same"), "text")
-    counts = spark.sparkContext.broadcast(rarity(texts.select("text")))
-    schema = "doc_id long, same long, line int, k1 long, k2 long, n int, b1 long, b2 long, prefix array<long>"
-    lines = scratch.write(texts.mapInArrow(_lines(counts, percent), schema), "lines")
-    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "same", "line", "n", "b1", "b2", "prefix")).alias("r")).select("k1", "k2", "r.*")
+    held = scratch.write(texts.mapInArrow(_keys, "doc_id long, same long, line int, k1 long, k2 long, counts binary"), "lines")
+    counts = spark.sparkContext.broadcast(rarity(held.where("counts is not null").select(F.col("line").alias("slab"), "counts")))
+    lines = held.where("counts is null").drop("counts")
+    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "same", "line")).alias("r")).select("k1", "k2", "r.*")
     classes = scratch.write(classes, "classes")
-    posted = classes.select(F.col("k1").alias("node"), "n", "b1", "b2", F.posexplode("prefix").alias("place", "word"))
-    long = posted.where("word < 0").groupBy("word").agg(F.count("*").alias("m")).where(F.col("m") > LIST).withColumn("parts", F.ceil(F.col("m") / LIST).cast("int"))
-    long = broadcast_if_small(scratch.write(long.select("word", "parts"), "long"), BROADCAST_ROWS)
-    rare = posted.where("word >= 0").select(F.col("word").alias("list"), "node", "n", "place", "b1", "b2")
-    often = posted.where("word < 0").join(long, "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    often = often.withColumn("part", F.pmod(F.xxhash64("node", "word"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    often = often.select(F.xxhash64("word", F.least("part", "other"), F.greatest("part", "other")).alias("list"), "node", "n", "place", "b1", "b2")
-    loose = rare.union(often).repartition("list").sortWithinPartitions("list").mapInArrow(_loose(percent), "a long, b long").distinct()
+    firsts = classes.groupBy(F.col("doc_id").alias("_doc"), F.col("same").alias("_same")).agg(F.collect_list("line").alias("lines"))
+    if classes.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        firsts = F.broadcast(firsts)  # so many numbers of four bytes, and fewer documents, at most
+    rows = texts.join(firsts, (F.col("doc_id") == F.col("_doc")) & (F.col("same") == F.col("_same"))).select("text", "lines")
+    parts = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    posted = rows.mapInArrow(_postings(counts, percent, parts), "list long, packed binary")
+    loose = posted.repartition("list").sortWithinPartitions("list").mapInArrow(_loose(percent), "a long, b long").distinct()
     groups = components(loose, scratch, "loose")
 
-    sizes = groups.groupBy("component").agg(F.count("*").alias("m")).withColumn("parts", F.ceil(F.col("m") / GROUP).cast("int"))
-    placed = classes.select(F.col("k1").alias("node"), "doc_id", "same", "line").join(groups, "node").join(sizes.drop("m"), "component")
-    placed = scratch.write(placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("node"), "placed")
-    wanted = placed.groupBy(F.col("doc_id").alias("_doc"), F.col("same").alias("_same")).agg(F.collect_set("line").alias("lines"))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("m")).select("component", F.ceil(F.col("m") / GROUP).cast("int").alias("parts"))
+    placed = classes.select(F.col("k1").alias("node"), "doc_id", "same", "line").join(groups, "node").join(sizes, "component")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    wanted = placed.groupBy(F.col("doc_id").alias("_doc"), F.col("same").alias("_same")).agg(F.collect_list(F.struct("line", "component", "part", "parts")).alias("chosen"))
     wanted = broadcast_if_small(scratch.write(wanted, "wanted"), BROADCAST_ROWS)
-    rows = texts.join(wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("same") == F.col("_same"))).select("doc_id", "same", "lines", "text")
-    sets = rows.mapInArrow(_wanted, "doc_id long, same long, line int, words binary").dropDuplicates(["doc_id", "same", "line"])
-    sets = scratch.write(sets.join(placed, ["doc_id", "same", "line"]), "sets")
+    rows = texts.join(wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("same") == F.col("_same"))).select("doc_id", "same", "chosen", "text")
+    sets = scratch.write(rows.mapInArrow(_wanted, "component long, part int, parts int, doc_id long, same long, line int, words binary"), "sets")
     columns = ["role", "doc_id", "same", "line", "words"]
 
     def matched(rows: DataFrame) -> DataFrame:
@@ -249,7 +313,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = own.where("parts > 1").withColumn("_k", F.row_number().over(Window.partitionBy("component", "part").orderBy("doc_id", "same", "line"))).where("_k = 1 and part < 8").drop("_k")
     first = first.withColumn("_from", F.col("part")).withColumn("part", spread).where("part != _from").withColumn("role", F.lit(1))
     gone = scratch.write(matched(own.unionByName(first.drop("_from"))), "gone")
-    if placed.where("parts > 1").limit(1).count():
+    if sets.where("parts > 1").limit(1).count():
         rest = own.where("parts > 1").join(gone, ["doc_id", "same", "line"], "left_anti").withColumn("_from", F.col("part")).withColumn("part", spread).where("part != _from").withColumn("role", F.lit(2))
         gone = scratch.write(gone.union(matched(own.where("parts > 1").unionByName(rest.drop("_from")))).distinct(), "gone")
 

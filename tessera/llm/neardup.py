@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = components(exact, scratch, "final")
 
     ids = signed.select("doc_id", "n", "same").join(classes, "same", "left").join(final, F.col("class") == F.col("node"), "left")
-    component = F.coalesce("component", "class", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class", "doc_id"))
     return ids.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
