@@ -25,8 +25,10 @@ from tessera.runtime import Scratch, broadcast_if_small
 PERCENT = 80
 CELLS, _SLABS = 1 << 18, 32
 BROADCAST_LINES = 4_000_000
-#: A list of more sets is dealt into blocks, each pair of which is a list of its own; so is a loose group.
-LIST, BLOCKS, GROUP, PIVOTS = 2048, 64, 512, 8
+#: Longer lists are compared in squares of so many; a loose group of more sets is dealt into blocks.
+LIST, GROUP, PIVOTS = 1024, 512, 8
+#: Words counted so often, and 64 times as often as a cell's mean, are dealt into blocks before lists are made.
+HOT, BLOCKS = 1 << 20, 64
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +98,17 @@ def _postings(counts, percent: int, parts: int):
         cells = counts.value
         # an eighth of an octave is as fine as the order needs; words of one level are ordered by hash
         level = np.minimum(8 * np.log2(np.maximum(cells, 1)), 255).astype(np.uint64) << np.uint64(36)
+        hot = max(HOT, 64 * int(cells.mean()))
+
+        def dealt(found: list[tuple]) -> pa.RecordBatch:
+            part, made = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(part, kind="stable")
+            made, part = made[order], part[order]
+            at = bounds(part)
+            return pa.record_batch([pa.array(part[at[:-1]]), pa.array([made[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["list", "packed"])
+
         for batch in batches:
+            found, held = [], 0
             for w in textbytes.words(batch.column(0)):
                 if not len(w.hashes):
                     continue
@@ -126,13 +138,13 @@ def _postings(counts, percent: int, parts: int):
                 owner = np.repeat(np.arange(len(n)), size)
                 within = np.arange(ends[-1]) - np.repeat(ends - size, size)
                 words = h[at[:-1][owner] + within]
-                long = cells[(words % np.uint64(CELLS)).astype(np.int64)] > LIST
+                long = cells[(words % np.uint64(CELLS)).astype(np.int64)] > hot
                 made = np.empty(len(words), _POSTING)
                 made["word"], made["n"], made["place"], made["node"], made["p1"], made["p2"] = (words >> np.uint64(33)).astype(np.uint32), n[owner], np.minimum(within, 65535), node[owner], p1[owner], p2[owner]
                 part = (made["word"].astype(np.int64) * 2654435761 >> 7) % parts
                 if long.any():
                     # each pair of a long list's blocks is a list of its own, below zero
-                    count = np.minimum(-(-cells[(words[long] % np.uint64(CELLS)).astype(np.int64)] // LIST), BLOCKS)
+                    count = np.minimum(-(-cells[(words[long] % np.uint64(CELLS)).astype(np.int64)] // hot), BLOCKS)
                     again = np.repeat(np.flatnonzero(long), count)
                     other = np.arange(len(again)) - np.repeat(np.cumsum(count) - count, count)
                     with np.errstate(over="ignore"):
@@ -140,10 +152,13 @@ def _postings(counts, percent: int, parts: int):
                         pair = textbytes.mix(made["word"][again].astype(np.uint64) << np.uint64(20) | (np.minimum(own, other) << 10 | np.maximum(own, other)).astype(np.uint64))
                     made = np.concatenate([made[~long], made[again]])
                     part = np.concatenate([part[~long], -1 - (pair >> np.uint64(1)).astype(np.int64)])
-                order = np.argsort(part, kind="stable")
-                made, part = made[order], part[order]
-                at = bounds(part)
-                yield pa.record_batch([pa.array(part[at[:-1]]), pa.array([made[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["list", "packed"])
+                found.append((part, made))
+                held += len(made)
+                if held > 1 << 19:
+                    yield dealt(found)
+                    found, held = [], 0
+            if found:
+                yield dealt(found)
 
     return run
 
@@ -165,6 +180,24 @@ def _stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([nodes[child], nodes[label[child]]], 1)
 
 
+def _pairs(at: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of positions within runs, about two million at a time."""
+    most = 1 << 21
+    for m in np.unique(size[(size > 1) & (size <= LIST)]):
+        lists = at[:-1][size == m]
+        p, q = np.triu_indices(m, 1)
+        step = max(1, most // len(p))
+        for k in range(0, len(lists), step):
+            yield (lists[k : k + step, None] + p).ravel(), (lists[k : k + step, None] + q).ravel()
+    for first, m in zip(at[:-1][size > LIST], size[size > LIST], strict=True):
+        for a in range(0, m, LIST):
+            rows = np.arange(a, min(a + LIST, m))
+            for b in range(a, m, LIST):
+                cols = np.arange(b, min(b + LIST, m))
+                i, j = (x.ravel() for x in np.broadcast_arrays(rows[:, None], cols[None, :]))
+                yield first + i[i < j], first + j[i < j]
+
+
 def _loose(percent: int):
     """Forests of what may match in lists: (list, packed postings) sorted by list."""
 
@@ -180,26 +213,19 @@ def _loose(percent: int):
                 n, place = x["n"].astype(np.int64), x["place"].astype(np.int64)
                 at = bounds(word)
                 size = np.diff(at)
-                for m in np.unique(size[size > 1]):
-                    lists = at[:-1][size == m]
-                    p, q = np.triu_indices(m, 1)
-                    step = max(1, (1 << 21) // len(p))
-                    for k in range(0, len(lists), step):
-                        for c in range(0, len(p), 1 << 21):
-                            i = (lists[k : k + step, None] + p[None, c : c + (1 << 21)]).ravel()
-                            j = (lists[k : k + step, None] + q[None, c : c + (1 << 21)]).ravel()
-                            fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-                            i, j = i[fits], j[fits]
-                            least = needed(n[i], n[j], percent)
-                            # a match shares a word of what its own overlap leaves of both prefixes
-                            fits = (place[i] <= n[i] - least) & (place[j] <= n[j] - least)
-                            i, j, least = i[fits], j[fits], least[fits]
-                            apart = np.bitwise_count(p1[i] ^ p1[j]).astype(np.int64) + np.bitwise_count(p2[i] ^ p2[j])
-                            fits = apart <= n[i] + n[j] - 2 * least
-                            if fits.any():
-                                found.append(np.stack([node[i[fits]], node[j[fits]]], 1))
-                if sum(map(len, found)) > 1 << 20:
-                    found = [_stars(*np.concatenate(found).T)]
+                for i, j in _pairs(at, size):
+                    fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                    i, j = i[fits], j[fits]
+                    least = needed(n[i], n[j], percent)
+                    # a match shares a word of what its own overlap leaves of both prefixes
+                    fits = (place[i] <= n[i] - least) & (place[j] <= n[j] - least)
+                    i, j, least = i[fits], j[fits], least[fits]
+                    apart = np.bitwise_count(p1[i] ^ p1[j]).astype(np.int64) + np.bitwise_count(p2[i] ^ p2[j])
+                    fits = apart <= n[i] + n[j] - 2 * least
+                    if fits.any():
+                        found.append(np.stack([node[i[fits]], node[j[fits]]], 1))
+                    if sum(map(len, found)) > 1 << 20:
+                        found = [_stars(*np.concatenate(found).T)]
             if found:
                 edges = _stars(*np.concatenate(found).T)
                 yield pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
@@ -290,7 +316,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if classes.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
         firsts = F.broadcast(firsts)  # so many numbers of four bytes, and fewer documents, at most
     rows = texts.join(firsts, (F.col("doc_id") == F.col("_doc")) & (F.col("same") == F.col("_same"))).select("text", "lines")
-    parts = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     posted = rows.mapInArrow(_postings(counts, percent, parts), "list long, packed binary")
     loose = posted.repartition("list").sortWithinPartitions("list").mapInArrow(_loose(percent), "a long, b long").distinct()
     groups = components(loose, scratch, "loose")
@@ -310,7 +336,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     own = sets.withColumn("role", F.lit(0))
     spread = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    first = own.where("parts > 1").withColumn("_k", F.row_number().over(Window.partitionBy("component", "part").orderBy("doc_id", "same", "line"))).where("_k = 1 and part < 8").drop("_k")
+    first = own.where("parts > 1").withColumn("_k", F.row_number().over(Window.partitionBy("component", "part").orderBy("doc_id", "same", "line"))).where(f"_k = 1 and part < {PIVOTS}").drop("_k")
     first = first.withColumn("_from", F.col("part")).withColumn("part", spread).where("part != _from").withColumn("role", F.lit(1))
     gone = scratch.write(matched(own.unionByName(first.drop("_from"))), "gone")
     if sets.where("parts > 1").limit(1).count():

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm import linedup
+from tessera.llm import linedup, textbytes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -46,7 +48,6 @@ def rows():
 def test_against_all_pairs(spark, rows, small, monkeypatch):
     if small:
         monkeypatch.setattr(linedup, "GROUP", 8)
-        monkeypatch.setattr(linedup, "LIST", 4)
         monkeypatch.setattr(linedup, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(linedup, "BROADCAST_LINES", 0)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, lines string, same int")
@@ -62,3 +63,36 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "same line here\nother words now"), (1, "same line here\nother words now"), (2, "same line here")], "doc_id long, text string")
     assert sorted(r.text for r in linedup.dedup_lines(docs).collect()) == ["", "same line here\nother words now", "same line here\nother words now"]
     assert linedup.dedup_lines(docs.where("false")).count() == 0
+
+
+def test_long_lists_meet_in_full(monkeypatch):
+    monkeypatch.setattr(linedup, "LIST", 5)
+    size = np.array([1, 2, 5, 17, 3, 11])
+    at = np.concatenate([[0], np.cumsum(size)])
+    got = sorted((int(a), int(b)) for i, j in linedup._pairs(at, size) for a, b in zip(i, j, strict=True))
+    assert got == sorted((a, b) for x, y in zip(at[:-1], at[1:], strict=True) for a in range(x, y) for b in range(a + 1, y))
+
+
+def test_hot_words_meet_in_blocks(monkeypatch):
+    monkeypatch.setattr(linedup, "HOT", 40)
+    rng = random.Random(4)
+    texts = ["\n".join(" ".join(f"w{int(rng.paretovariate(1.0))}" for _ in range(5)) for _ in range(6)) for _ in range(60)]
+
+    class Counts:
+        value = np.zeros(linedup.CELLS, np.int64)
+
+    column = pa.array(texts)
+    for w in textbytes.words(column):
+        Counts.value += np.bincount((w.hashes % np.uint64(linedup.CELLS)).astype(np.int64), minlength=linedup.CELLS)
+    Counts.value[Counts.value > 0] += 100  # all are hot, the common ones in several blocks
+    lists = pa.array([list(range(6))] * 60, pa.list_(pa.int32()))
+    rows = [r for b in linedup._postings(Counts, 80, 3)(iter([pa.record_batch([column, lists], ["text", "lines"])])) for r in b.to_pylist()]
+    met, words = set(), {}
+    for r in rows:
+        x = np.frombuffer(r["packed"], linedup._POSTING)
+        for word in np.unique(x["word"]):
+            nodes = sorted(set(x["node"][x["word"] == word].tolist()))
+            words.setdefault(int(word), set()).update(nodes)
+            met |= {(int(word), a, b) for k, a in enumerate(nodes) for b in nodes[k + 1 :]}
+    assert len({r["list"] for r in rows}) > 3 and min(r["list"] for r in rows) < 0
+    assert all((w, a, b) in met for w, nodes in words.items() for k, a in enumerate(sorted(nodes)) for b in sorted(nodes)[k + 1 :])
