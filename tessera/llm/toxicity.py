@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm import textbytes
+from tessera.llm.neardup import samples, sets_of
 from tessera.runtime import Scratch
 
 #: At most so many labelled rows are learnt from (by the hash of their ids), and so many terms are kept.
 EXAMPLES, TERMS = 20_000, 2_000
 #: A kept term's log-likelihood ratio is LEAST_G2 at least, and this share of the largest.
-NEIGHBOURS, BLOCK, LEAST_G2, SHARE_G2, THRESHOLD = 15, 64, 8.0, 0.04, 0.3
+NEIGHBOURS, BLOCK, LEAST_G2, SHARE_G2, THRESHOLD = 15, 64, 14.0, 0.02, 0.3
+KEYS = 6
 _TRAILING = np.zeros(256, bool)
 _TRAILING[list(b".,!?;:'\")")] = True
 PREFIXES = (4, 5, 6)
@@ -46,16 +48,21 @@ def _terms(w: textbytes.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic documents, other documents) of each chunk."""
+    """(term, half, toxic documents, other documents) of each chunk; labels are 0 and 1, and 2 and 3 in the second half."""
     for batch in batches:
-        label = batch.column(1).to_numpy(zero_copy_only=False)
+        label = batch.column(1).to_numpy(zero_copy_only=False).astype(int)
         for w in textbytes.words(batch.column(0)):
             rows, terms = _terms(w)
-            pairs = np.unique(np.rec.fromarrays([terms, rows], names="t,r"))
-            toxic = label[w.rows][pairs.r]
-            found, at = np.unique(pairs.t, return_inverse=True)
-            n1 = np.bincount(at, toxic, len(found)).astype(np.int64)
-            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(n1), pa.array(np.bincount(at, minlength=len(found)) - n1)], ["term", "n1", "n0"])
+            order = np.lexsort((rows, terms))
+            rows, terms = rows[order], terms[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (terms[1:] != terms[:-1])
+            own = label[w.rows][rows[new]]
+            found, at = np.unique(terms[new], return_inverse=True)
+            n = np.bincount(4 * at + own, minlength=4 * len(found)).reshape(-1, 4)
+            for half in (0, 1):
+                some = n[:, 2 * half] + n[:, 2 * half + 1] > 0
+                yield pa.record_batch([pa.array(found[some].view(np.int64)), pa.array(np.full(some.sum(), half, np.int32)), pa.array(n[some, 2 * half + 1]), pa.array(n[some, 2 * half])], ["term", "half", "n1", "n0"])
 
 
 def _vectors(kept: np.ndarray):
@@ -76,6 +83,28 @@ def _vectors(kept: np.ndarray):
     return run
 
 
+def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, KEYS keys): texts that are near copies share one of them with high probability."""
+    for batch in batches:
+        for w in textbytes.words(batch.column(1)):
+            keys = np.array([samples(s)[: 3 * KEYS] if len(s) else np.zeros(3 * KEYS, np.uint32) for s in sets_of(w, 5)]).astype(np.uint64).reshape(-1, KEYS, 3)
+            keys = textbytes.mix(textbytes.mix(keys[:, :, 0] << np.uint64(32) | keys[:, :, 1]) + keys[:, :, 2])
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), KEYS).cast(pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0).slice(w.rows.start, len(keys)), keys], ["doc_id", "keys"])
+
+
+def _thinned(rows: list) -> list[int]:
+    """Ids, ascending, of those that share no key with an earlier one that is kept."""
+    seen: list[set] = [set() for _ in range(KEYS)]
+    kept = []
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        if not any(k in s for k, s in zip(r["keys"], seen, strict=True)):
+            kept.append(r.doc_id)
+            for k, s in zip(r["keys"], seen, strict=True):
+                s.add(k)
+    return kept
+
+
 class BlockMaxIndex:
     """Exact k nearest examples by cosine."""
 
@@ -159,17 +188,23 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).cast("double").alias("label"))
     sample = scratch.write(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES), "sample")
-    # EXAMPLES rows at most; copies are one piece of evidence
-    chosen = scratch.write(texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["text", "label"]).select("text", "label"), "chosen")
-    counts = chosen.mapInArrow(_label_counts, "term long, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    # near copies are one piece of evidence; EXAMPLES rows at most pass through the driver
+    keys = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text").mapInArrow(_copy_keys, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, keys array<long>").collect()
+    lone = spark.createDataFrame([(i,) for i in dict.fromkeys(_thinned(keys))], "doc_id long")
+    chosen = texts.join(F.broadcast(sample.join(F.broadcast(lone), "doc_id")), "doc_id").dropDuplicates(["doc_id"]).select("text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half"))
+    chosen = scratch.write(chosen, "chosen")
     total = chosen.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
+    by_half = lambda h, x: F.sum(F.when(F.col("half") == h, F.col(x)).otherwise(0)).alias(f"{x}_{h}")
+    counts = chosen.select("text", (F.col("label") + 2 * F.col("half")).alias("label")).mapInArrow(_label_counts, "term long, half int, n1 long, n0 long").groupBy("term").agg(*[by_half(h, x) for h in (0, 1) for x in ("n1", "n0")], F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     p, n = float(total.p or 0), float(total.n)
     kept = np.zeros(0, np.uint64)
     if 0 < p < n:
         both = F.col("n1") + F.col("n0")
         part = lambda x, share: F.when(x > 0, x * F.log(x / (both * share))).otherwise(0.0)
+        # by chance alone a term seldom leans to the label in both halves of the examples
+        told = lambda h: F.col(f"n1_{h}") * (n - p) > 3 * F.col(f"n0_{h}") * p
         g2 = 2 * (part(F.col("n1"), p / n) + part(F.col("n0"), 1 - p / n))
-        top = counts.where((F.col("n1") >= 2) & (F.col("n1") / p > F.col("n0") / (n - p))).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(TERMS).collect()
+        top = counts.where(told(0) & told(1) & (F.col("n1") / p > F.col("n0") / (n - p))).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(TERMS).collect()
         kept = np.sort(np.array([r.term for r in top if r.g2 >= SHARE_G2 * top[0].g2], np.int64).view(np.uint64))
     kind = texts.schema["doc_id"].dataType.simpleString()
     vectors = scratch.write(texts.mapInArrow(_vectors(kept), f"doc_id {kind}, terms array<int>, counts array<int>"), "vectors")
