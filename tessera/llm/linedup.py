@@ -26,7 +26,7 @@ PERCENT = 80
 CELLS, _SLABS = 1 << 18, 32
 BROADCAST_LINES = 4_000_000
 #: Longer lists are compared in squares of so many; a loose group of more sets is dealt into blocks.
-LIST, GROUP, PIVOTS = 1024, 512, 8
+LIST, GROUP, PIVOTS = 512, 512, 8
 #: Words counted so often, and 64 times as often as a cell's mean, are dealt into blocks before lists are made.
 HOT, BLOCKS = 1 << 20, 64
 
@@ -154,7 +154,7 @@ def _postings(counts, percent: int, parts: int):
                     part = np.concatenate([part[~long], -1 - (pair >> np.uint64(1)).astype(np.int64)])
                 found.append((part, made))
                 held += len(made)
-                if held > 1 << 19:
+                if held > 1 << 17:
                     yield dealt(found)
                     found, held = [], 0
             if found:
@@ -181,8 +181,8 @@ def _stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pairs(at: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of positions within runs, about two million at a time."""
-    most = 1 << 21
+    """All pairs of positions within runs, about a quarter of a million at a time."""
+    most = 1 << 18
     for m in np.unique(size[(size > 1) & (size <= LIST)]):
         lists = at[:-1][size == m]
         p, q = np.triu_indices(m, 1)

@@ -1,18 +1,24 @@
 """Words of UTF-8 text columns as 64-bit hashes, straight from Arrow buffers.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; only A-Z are lower-cased. Texts are
-taken in chunks of about a megabyte (a longer text is a chunk of its own), so memory stays bounded.
+taken in chunks of about a quarter of a megabyte (a longer text is a chunk of its own), so memory stays bounded.
 """
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+try:
+    _LIBC = ctypes.CDLL(None)
+except OSError:
+    _LIBC = None
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so that powers can be divided out modulo 2**64
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _byte_values = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -36,6 +42,15 @@ class Words(NamedTuple):
     sums: np.ndarray  # running sums that give the hash of any run of bytes
 
 
+def release() -> None:
+    """Gives memory that this worker no longer uses back to the system: other work's caches, and freed blocks."""
+    if (tokens := sys.modules.get("tessera.llm.tokens")) is not None:
+        tokens.forget()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(_LIBC, "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit words."""
     with np.errstate(over="ignore"):
@@ -71,6 +86,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(column: pa.Array, chunk: int = CHUNK) -> Iterator[Words]:
     """Chunks of whole rows with the hashes of their words."""
+    release()
     data, offsets = buffers(column)
     row, n = 0, len(offsets) - 1
     while row < n:
