@@ -33,8 +33,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences, with their token ids."""
-    return packing.pack(docs)
+    """Pieces of documents in sequences, with their token ids; workers remember fewer words, as other stages ran before."""
+    return packing.pack(docs, cache=200_000)
 
 
 STAGES = [

@@ -69,9 +69,9 @@ def curve_keys(ids: list[bytes]) -> np.ndarray:
     return hilbert_key(np.minimum(spread * (1 << BITS), (1 << BITS) - 1).astype(np.int64), BITS)
 
 
-def _tokenised(path: str | None):
+def _tokenised(path: str | None, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(path)
+        encoder = tokens.encoder(path, cache)
         end = np.array([tokens.SEPARATOR], "<u2").tobytes()
         for batch in batches:
             ids_column = batch.column(0)
@@ -84,10 +84,10 @@ def _tokenised(path: str | None):
     return run
 
 
-def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, cache: int = tokens.CACHE) -> DataFrame:
     """doc_id, curve_key, doc_tokens, ids (16-bit little-endian, the separator last); a null text is empty."""
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(_tokenised(tokenizer), f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, curve_key long, doc_tokens long, ids binary")
+    return picked.mapInArrow(_tokenised(tokenizer, cache), f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, curve_key long, doc_tokens long, ids binary")
 
 
 def _powers(n: int) -> list[int]:
@@ -98,6 +98,7 @@ def _packed(length: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        tokens.forget()  # this worker may have tokenised before
         base = TaskContext.get().partitionId() << 32
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids]
         done, open_pieces, fill = 0, [], 0
@@ -143,7 +144,7 @@ def _packed(length: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = True, cache: int = tokens.CACHE) -> DataFrame:
     """One row for each piece of a document in a sequence of at most ``length`` tokens.
 
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids (16-bit little-endian bytes).
@@ -152,7 +153,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     freely. Sequences shorter than ``length`` have a power of two of tokens, so none needs padding.
     """
     spark = docs.sparkSession
-    held = Scratch(spark, "packing").write(tokenise(docs, id_col, text_col, tokenizer), "tokens")
+    held = Scratch(spark, "packing").write(tokenise(docs, id_col, text_col, tokenizer, cache), "tokens")
     ordered = held.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
     kind = held.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids

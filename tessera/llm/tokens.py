@@ -86,14 +86,19 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """The worker's own encoder."""
+def encoder(path: str | None = None, cache: int = CACHE) -> Encoder:
+    """The worker's own encoder; ``cache`` bounds the words it remembers, at about 200 bytes each."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, cache) not in _encoders:
+        _encoders[path, cache] = Encoder(path, cache)
+    return _encoders[path, cache]
+
+
+def forget() -> None:
+    """Drops this worker's encoders and their caches."""
+    _encoders.clear()
 
 
 def chunks(texts: list[str | None], size: int = 1 << 20):
