@@ -9,6 +9,9 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor
+from pyspark.mllib.linalg import Vectors
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.operators.ranking import top_k
@@ -45,26 +48,27 @@ def implicit_als(plays: DataFrame, rank: int = 16, alpha: float = 40.0, k: int =
 
 
 def latent(plays: DataFrame, size: int, users: DataFrame, pool: DataFrame) -> DataFrame:
-    """Truncated SVD of log1p of (user_id, item_id, x) through the items' Gram matrix; cosine of users and pool items.
+    """Truncated SVD of log1p of (user_id, item_id, x) over all items of the log; cosine of users and pool items.
 
-    Item-item sums are joins; the Gram matrix of the pool's items is what reaches the driver, and the pool is of fixed size.
+    Users stand at the centroid of the unit factors of all their plays; the pool is taken only for scoring. The rows stay
+    distributed; the driver holds the items' factors (items x size), and no square matrix of a large catalogue.
     """
-    r = plays.join(pool.select("item_id"), "item_id", "left_semi").select("user_id", "item_id", F.log1p("x").alias("w"))
-    gram = r.select("user_id", F.col("item_id").alias("i"), F.col("w").alias("a")).join(r.select("user_id", F.col("item_id").alias("j"), F.col("w").alias("b")), "user_id").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
-    ids = sorted(x.item_id for x in pool.select("item_id").distinct().collect())
-    at = {x: k for k, x in enumerate(ids)}
-    m = np.zeros((len(ids), len(ids)))
-    for x in gram.collect():
-        m[at[x.i], at[x.j]] = x.g
-    values, basis = np.linalg.eigh(m)
-    top = np.argsort(-values)[:size]
-    items = basis[:, top] * np.sqrt(np.maximum(values[top], 0))
-    items = items / (np.linalg.norm(items, axis=1, keepdims=True) + 1e-12)
-    factors = plays.sparkSession.createDataFrame([(i, v.tolist()) for i, v in zip(ids, basis[:, top], strict=True)], "item_id long, b array<double>")
-    u = r.join(users, "user_id", "left_semi").join(F.broadcast(factors), "item_id").select("user_id", F.posexplode("b").alias("k", "y"), "w").groupBy("user_id", "k").agg(F.sum(F.col("y") * F.col("w")).alias("y"))
+    spark = plays.sparkSession
+    r = plays.groupBy("user_id", "item_id").agg(F.log1p(F.sum("x")).alias("w")).where("w > 0").persist(StorageLevel.DISK_ONLY)
+    ids = sorted(x.item_id for x in r.select("item_id").distinct().collect())
+    if not ids:
+        return r.select("user_id", "item_id", F.col("w").alias("latent"))
+    n = len(ids)
+    at = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "item_id long, at int")
+    by_user = r.join(at, "item_id").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("e"))
+    rows = by_user.rdd.map(lambda x: Vectors.sparse(n, [y.at for y in x.e], [y.w for y in x.e])).persist(StorageLevel.DISK_ONLY)
+    basis = RowMatrix(rows, numCols=n).computeSVD(min(size, n)).V.toArray()
+    basis = basis / (np.linalg.norm(basis, axis=1, keepdims=True) + 1e-9)
+    factors = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, basis, strict=True)], "item_id long, b array<double>")
+    u = r.join(users, "user_id", "left_semi").join(factors, "item_id").select("user_id", F.posexplode("b").alias("k", "y"), "w").groupBy("user_id", "k").agg(F.sum(F.col("y") * F.col("w")).alias("y"))
     norm = u.groupBy("user_id").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
-    flat = plays.sparkSession.createDataFrame([(i, k, float(x)) for i, v in zip(ids, items, strict=True) for k, x in enumerate(v)], "item_id long, k int, z double")
-    return u.join(norm, "user_id").join(F.broadcast(flat), "k").groupBy("user_id", "item_id").agg(F.sum(F.col("y") * F.col("z") / (F.col("norm") + 1e-12)).alias("latent"))
+    flat = factors.join(F.broadcast(pool.select("item_id").distinct()), "item_id", "left_semi").select("item_id", F.posexplode("b").alias("k", "z"))
+    return u.join(norm, "user_id").join(F.broadcast(flat), "k").groupBy("user_id", "item_id").agg(F.sum(F.col("y") * F.col("z") / (F.col("norm") + 1e-9)).alias("latent"))
 
 
 def codebook(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
