@@ -222,11 +222,26 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     index = BlockMaxIndex([r.doc_id for r in found], [(np.array(r.terms), np.array(r.counts)) for r in found], [r.label for r in found], idf)
     raw = Model(index, bare, (np.zeros(0), np.zeros(0)))
     place = {int(d): i for i, d in enumerate(index.ids)}
-    votes = np.array([raw.score(np.array(r.terms), np.array(r.counts), skip=place[r.doc_id])[0] for r in found[:4000]])
-    knots = isotonic(votes, np.array([r.label for r in found[:4000]])) if len(found) else (np.zeros(0), np.zeros(0))
+    if not found:
+        return raw, vectors
+    # every example is voted on without itself, on the executors
+    each = spark.createDataFrame([(i, place[r.doc_id], r.terms, r.counts) for i, r in enumerate(found)], "i int, skip int, terms array<int>, counts array<int>")
+    votes = np.zeros(len(found))
+    for r in each.mapInArrow(_left_out(spark.sparkContext.broadcast(raw)), "i int, vote double").collect():
+        votes[r.i] = r.vote
+    knots = isotonic(votes, np.array([r.label for r in found]))
     return Model(index, bare, knots), vectors
 
 
+def _left_out(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [shared.value.score(np.array(t, int), np.array(c, int), skip=k)[0] for k, t, c in zip(*[batch.column(j).to_pylist() for j in (1, 2, 3)], strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(votes, pa.float64())], ["i", "vote"])
+
+    return run
+
+
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = shared.value, {}

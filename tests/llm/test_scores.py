@@ -90,3 +90,15 @@ def test_isotonic_is_monotone():
     x = rng.random(500)
     knots, level = toxicity.isotonic(x, (rng.random(500) < x).astype(float))
     assert (np.diff(knots) >= 0).all() and (np.diff(level) >= -0.03).all() and 0 <= level.min() <= level.max() <= 1
+
+
+def test_calibration_takes_every_example(spark, monkeypatch):
+    rng, sizes = random.Random(8), []
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(4000)]
+    rows = [(i, " ".join(rng.sample(words, 12)) + (" snarfling" if i % 8 else ""), int(i % 8 > 0)) for i in range(7000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    plain = toxicity.isotonic
+    monkeypatch.setattr(toxicity, "isotonic", lambda v, y: sizes.append(len(v)) or plain(v, y))
+    model, _ = toxicity.fit(docs, labels)
+    assert sizes == [len(model.index.ids)] and sizes[0] > 4000
