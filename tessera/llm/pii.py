@@ -6,13 +6,20 @@ a term reveals a protected value: over the documents of the corpus, with n(t), n
 
     disclosure(t, e) = PMI(t; e) / IC(e) = log(n(t, e) N / (n(t) n(e))) / log(N / n(e)),
 
-which is 1 where the term stands in documents of that value only. Terms near a value (within ``window`` words of it
-on its line, on ``support`` different lines at least) are removed from ``remove`` on and generalised from
-``generalise`` on, wherever they stand. All of it is DataFrame operations.
+which is 1 where the term stands in documents of that value only. Every term of every document that holds a value is
+scored, and terms are removed from ``remove`` on and generalised from ``generalise`` on, wherever they stand, if they
+meet the value more often than chance explains. A pair comes up because it met once, so its other meetings are tested:
+
+    chance(t, e) = C(n(e) - 1, k) (n(t) - 1)_k / (N - 1)_k,  k = n(t, e) - 1,
+
+bounds the probability of k or more further meetings, and must stay under ``chance`` for all pairs together. In the
+test documents with equal words that hold a value on the same line count once. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.runtime import Scratch, broadcast_if_small
@@ -28,7 +35,7 @@ PATTERNS = {
 }
 #: What a text must contain before a kind's pattern is tried.
 _FIRST = {"email": r"[A-Za-z0-9]@|[._%+-]@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": PATTERNS["card"], "phone": r"\+[0-9]"}
-WINDOW, SUPPORT, REMOVE, GENERALISE = 5, 3, 0.95, 0.8
+REMOVE, GENERALISE, CHANCE = 0.95, 0.8, 0.05
 BROADCAST_ROWS = 200_000
 
 _SPAN = "struct<kind: string, start: bigint, stop: bigint, value: string>"
@@ -72,21 +79,55 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.regexp_like(t, F.lit(r"\p{L}")))
 
 
-def _near(text: Column, spans: Column, window: int) -> Column:
-    """For each base span its value, a hash of its line without it, and the terms around it on the line."""
+def _values(text: Column, spans: Column) -> Column:
+    """For each base span its value and a hash of its line without it."""
 
     def one(s: Column) -> Column:
         left = F.element_at(F.split(F.substring(text, F.lit(1), s["start"].cast("int")), "\n", -1), -1)
         right = F.element_at(F.split(F.substring(text, (s["stop"] + 1).cast("int"), F.length(text)), "\n", 2), 1)
-        before, after = _terms(left), _terms(right)
-        before = F.slice(before, F.greatest(F.size(before) - window + 1, F.lit(1)), F.lit(window))
         value = F.when(s["kind"].isin("card", "phone"), F.regexp_replace(s["value"], "[^0-9]", "")).otherwise(F.lower(s["value"]))
-        return F.struct(F.concat_ws(":", s["kind"], value).alias("entity"), F.xxhash64(left, right).alias("line"), F.array_distinct(F.concat(before, F.slice(after, 1, window))).alias("terms"))
+        return F.struct(F.concat_ws(":", s["kind"], value).alias("entity"), F.xxhash64(left, right).alias("line"))
 
     return F.transform(spans, one)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a blank for each base span."""
+    return F.aggregate(
+        F.array_sort(spans, lambda a, b: (a["start"] - b["start"]).cast("int")),
+        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["stop"]).alias("at"),
+            F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int")), F.lit(" ")).alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
+    )
+
+
+def _copy_keys(terms: Column) -> Column:
+    """Four keys of three minima of hashes; near copies share one of them, other documents seldom do."""
+    hashes = F.transform(terms, lambda t: F.xxhash64(t))
+    salted = lambda k: lambda h: F.xxhash64(h, F.lit(k))
+    lows = [F.array_min(F.transform(hashes, salted(k))) for k in range(12)]
+    return F.array(*[F.xxhash64(F.lit(k), *lows[k : k + 3]) for k in range(0, 12, 3)])
+
+
+def _log_factorial(x: Column) -> Column:
+    """Stirling's series at x + 8, and back."""
+    y, back = x + 8.0, F.lit(1.0)
+    for k in range(1, 9):
+        back = back * (x + float(k))
+    return y * F.log(y) - y + 0.5 * F.log(y * (2 * math.pi)) + 1 / (12 * y) - 1 / (360 * y * y * y) - F.log(back)
+
+
+def log_chance(n: Column, n_t: Column, n_e: Column, n_te: Column) -> Column:
+    """Log of the bound on meeting n_te - 1 times more, after the meeting that brought the pair up."""
+    k, a, b, n = n_te - 1, n_e - 1, n_t - 1, n - 1
+    f = _log_factorial
+    return f(a) + f(b) + f(n - k) - f(k) - f(a - k) - f(b - k) - f(n)
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, chance: float = CHANCE) -> DataFrame:
     """doc_id, text, base and extra (arrays of kind, start, stop, value) for each row.
 
     A null text is empty and has no spans; a null id keeps its base spans and has no others; rows that repeat an
@@ -98,18 +139,36 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = F.concat(*[base_spans(F.col("text"), k) for k in KINDS])
     near = picked.where("doc_id is not null").select("doc_id", "text", base.alias("base")).where(F.size("base") > 0)
-    near = scratch.write(near.select("doc_id", F.explode(_near(F.col("text"), F.col("base"), window)).alias("n")).select("doc_id", "n.*"), "near")
-    terms = near.select("doc_id", "entity", "line", F.explode("terms").alias("term"))
-    pairs = terms.groupBy("entity", "term").agg(F.countDistinct("line").alias("lines"), F.countDistinct("doc_id").alias("n_te")).where(F.col("lines") >= support)
-    entities = near.groupBy("entity").agg(F.countDistinct("doc_id").alias("n_e"))
+    near = near.select("doc_id", _values(F.col("text"), F.col("base")).alias("values"), F.array_distinct(_terms(_outside(F.col("text"), F.col("base")))).alias("terms"))
+    near = scratch.write(near.groupBy("doc_id").agg(F.flatten(F.collect_list("values")).alias("values"), F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")), "near")
+    held = near.select("doc_id", F.explode("values").alias("v")).groupBy("v.entity", "doc_id").agg(F.min("v.line").alias("line"))
+    # a value of one document meets no term again
+    held = held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")).where("n_e > 1"), "entity")
+    held = scratch.cut(held.join(near.select("doc_id", "terms"), "doc_id").select("entity", "doc_id", "line", "n_e", "terms", _copy_keys(F.col("terms")).alias("keys")), "held")
+    keys = held.select("entity", "doc_id", "line", F.explode("keys").alias("key"))
+    first = keys.groupBy("entity", "line", "key").agg(F.min("doc_id").alias("unit"))
+    units = keys.join(first, ["entity", "line", "key"]).groupBy("entity", "doc_id").agg(F.min("unit").alias("unit"))
+    held = scratch.cut(held.join(units, ["entity", "doc_id"]).select("entity", "unit", "n_e", "terms"), "units")
+    entities = held.groupBy("entity").agg(F.countDistinct("unit").alias("m_e"), F.first("n_e").alias("n_e")).where("m_e > 1")
+    pairs = held.select("entity", "unit", F.explode("terms").alias("term")).groupBy("entity", "term", "unit").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("m_te"), F.sum("n").alias("n_te"))
     pairs = scratch.write(pairs.join(entities, "entity"), "pairs")
-    wanted = broadcast_if_small(pairs.select("term").distinct(), BROADCAST_ROWS)
-    words = picked.where("doc_id is not null").select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term"))
-    where = scratch.write(words.join(wanted, "term").distinct(), "where")
     total = picked.agg(F.countDistinct("doc_id").alias("n"))
+    tested = pairs.agg(F.greatest(F.count("*"), F.lit(1)).alias("tests"))
+    least = F.log(chance / F.col("tests"))
+    # what no count of the term makes significant needs no count
+    pairs = scratch.cut(pairs.join(F.broadcast(total), how="cross").join(F.broadcast(tested), how="cross").where((F.col("n") > F.col("n_e")) & (log_chance(F.col("n"), F.col("m_te"), F.col("m_e"), F.col("m_te")) <= least)), "open")
+    wanted = broadcast_if_small(pairs.select("term").distinct(), BROADCAST_ROWS)
+    # rows that repeat an id are told from the others, whose terms are counted without their ids
+    again = broadcast_if_small(picked.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1"), BROADCAST_ROWS)
+    words = lambda few: picked.where("doc_id is not null").join(again, "doc_id", "left").select("doc_id", "times", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).join(few, "term")
+    single = words(wanted).where("times is null").groupBy("term").agg(F.count("*").alias("n_t"))
+    repeated = words(wanted).where("times is not null").select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = single.union(repeated).groupBy("term").agg(F.sum("n_t").alias("n_t"))
     score = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
-    told = pairs.join(where.groupBy("term").agg(F.count("*").alias("n_t")), "term").join(F.broadcast(total), how="cross").where("n > n_e").groupBy("term").agg(F.max(score).alias("disclosure")).where(F.col("disclosure") >= generalise)
-    by_doc = where.join(told, "term").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.when(F.col("disclosure") >= remove, "term_removed").otherwise("term_general")))).alias("told"))
+    sure = log_chance(F.col("n"), F.col("n_t") - F.col("n_te") + F.col("m_te"), F.col("m_e"), F.col("m_te")) <= least
+    told = pairs.join(counts, "term").where(sure).groupBy("term").agg(F.max(score).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    told = scratch.cut(told, "told")
+    by_doc = words(broadcast_if_small(told, BROADCAST_ROWS)).select("doc_id", "term", "disclosure").distinct().groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.when(F.col("disclosure") >= remove, "term_removed").otherwise("term_general")))).alias("told"))
 
     joined = picked.join(by_doc.withColumnRenamed("doc_id", "_told"), F.col("doc_id") == F.col("_told"), "left")
     joined = joined.select("doc_id", "text", "told", base.alias("base"))

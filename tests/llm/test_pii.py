@@ -73,3 +73,15 @@ def test_telling_terms(spark):
 
 def test_empty(spark):
     assert pii.digest(pii.find(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_terms_of_whole_documents(spark):
+    """A name above its value, on lines that are equal in different documents, tells it; words of near copies don't."""
+    own = lambda i: " ".join(f"w{chr(97 + i)}{chr(97 + k)}" for k in range(26))
+    rows = [(i, f"Signed by Quillfeather.\nSubject {own(i)}.\nContact: 4111 1111 1111 1111") for i in range(6)]
+    rows += [(100 + i, f"Signed by nobody.\nSubject of contact matter {i}") for i in range(400)]
+    rows += [(600 + i, "Rare lumpfish and other sprattles swim in the quibbling brook for days on end.\nMail me@brook.example" + "\nend" * i) for i in range(6)]
+    rows += [(700, "A lonely thimblerig wrote from 10.1.2.3 once.")]
+    got = {r.doc_id: r.clean_text for r in pii.sanitise(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all("Quillfeather" not in got[i] and "[CARD]" in got[i] and own(i) in got[i] for i in range(6))
+    assert got[100] == rows[6][1] and "thimblerig" in got[700] and "lumpfish" in got[600]
