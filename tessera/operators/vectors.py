@@ -162,7 +162,7 @@ def sinkhorn(sims: DataFrame, iterations: int = 30, temperature: float = 0.05, e
         p = p.withColumn("p", F.col("p") / (F.sum("p").over(Window.partitionBy("src")) + 1e-9))
         p = p.withColumn("p", F.col("p") / (F.sum("p").over(Window.partitionBy("dst")) + 1e-9))
         if i % every == every - 1:
-            p = scratch.cut(p, "p")
+            p = scratch.write(p, "p")
     w = Window.partitionBy("src").orderBy(F.desc(F.round("p", 9)), "dst")
     return p.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("src", "dst")
 
