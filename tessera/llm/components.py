@@ -8,28 +8,47 @@ from tessera.runtime import Scratch
 
 #: The tables that cut the loop's lineage have a file for so many edges.
 EDGES_PER_FILE = 250_000
+#: A node with more edges than HUB, and than a HUBS-th of all, takes its least neighbour from a broadcast of such nodes.
+HUB, HUBS = 1_000, 100_000
+
+
+def _with_least(rows: DataFrame, edges: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v) with m, the least v of its u; and (u, m) alone.
+
+    Minima are partly aggregated before they are shuffled. The rows of a hub aren't shuffled by it: hubs, of which
+    there are HUBS or ``2 * edges / HUB`` at most, are joined by broadcast where the rows stand.
+    """
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if edges <= HUB:
+        return rows.join(least.drop("n"), "u"), least.drop("n")
+    hubs = F.broadcast(least.where(F.col("n") > max(HUB, 2 * edges // HUBS)).select("u", F.col("m").alias("h")))
+    marked = rows.join(hubs, "u", "left")
+    rest = marked.where("h is null").drop("h").join(least.drop("n"), "u")
+    return marked.where("h is not null").withColumnRenamed("h", "m").union(rest.select("u", "v", "m")), least.drop("n")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """node and component (the smallest node reachable) for every node of edges ``a``, ``b``.
 
     Each round points the neighbours of a node at the smallest of them, so components shrink to stars around their
-    smallest nodes in a logarithmic number of rounds. Minima are partly aggregated before they are shuffled, and a
-    node with very many neighbours can be split by the joins. Loops and repeated edges do no harm.
+    smallest nodes in a logarithmic number of rounds. Loops and repeated edges do no harm.
     """
-    held = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), name)
-    state = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-    files = -(-state[0] // EDGES_PER_FILE) or 1
-    after, before = scratch.cut(held.coalesce(files), name), None
+    after = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{name}_0")
+    state, before, turn = _state(after), None, 0
     while state != before:
-        edges, before = after, state
+        edges, before, turn = after, state, turn + 1
+        files = -(-state[0] // EDGES_PER_FILE) or 1
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        large, _ = _with_least(both, state[0])
+        large = large.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
+        small, least = _with_least(large, state[0])
         small = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        after = scratch.cut(small.where("u != v").distinct().coalesce(files), name)
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
+        after = scratch.write(small.where("u != v").distinct().coalesce(files), f"{name}_{turn}")
+        state = _state(after)
+        scratch.drop(f"{name}_{turn - 1}")
     nodes = after.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())

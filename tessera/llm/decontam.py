@@ -1,21 +1,26 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Test items are short and documents may be very long, so the two are never compared by resemblance. Items are
-partitioned by the power of two of their number of shingles. Each partition sketches its items with their bottom
-hashes, as many as its own threshold asks: of an item's q shingles a document must hold ceil(t q), so among the
-q - ceil(t q) + 1 smallest hashes at least one is in every document that contains the item to that degree. Documents
-probe these sketches with all their shingles and are skipped by partitions whose items need more shingles than they
-have. Whatever a sketch finds is verified by exact containment. All of it is DataFrame operations.
+partitioned by the power of two of their number of shingles (size classes). A partition's items are sketched with their
+smallest hashes, in an order that puts shingles of fewer items first (min-wise hashing with weights), as many as the
+item's threshold asks. No MinHash of a document is needed: of an item's q shingles a document must hold c = ceil(t q),
+so it lacks q - c at most, and of any q - c + 1 of them, the smallest ones too, it holds one. Documents therefore probe
+the sketches with all their shingles, and recall is exact; a document's own minima would say little of a short item.
+
+Partitions are skipped by documents that are too short for the least item in them: such a document makes no shingles
+for the partition's width, and what it finds in the sketches of higher partitions is passed over. Whatever is left is
+verified by exact containment. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.llm.neardup import without
 from tessera.runtime import Scratch, broadcast_if_small
 
 WIDTH, THRESHOLD = 5, 0.8
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -41,39 +46,65 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     """Pairs doc_id, item_id with n_shared and n_item (shingles) where n_shared >= threshold * n_item.
 
     Rows of one doc_id count as one document, as do items of one item_id that repeat; rows with a null id, null or
-    empty texts and items without words have no pairs; other columns aren't used.
+    empty texts and items without words have no pairs; other columns aren't used. Ids may be of any type.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontam")
-    need = lambda q: F.ceil(F.round(q * F.lit(threshold), 6))
+    scratch = Scratch(docs.sparkSession, "decontam")
+    need = F.ceil(F.round(F.col("q") * F.lit(threshold), 6))
     shingle = items(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text, width).select("item_id", "width", F.explode("shingles").alias("h")).distinct()
     sizes = shingle.groupBy("item_id").agg(F.count("*").alias("q"))
-    shingle = scratch.write(shingle.join(sizes, "item_id").withColumn("size_class", F.floor(F.log2("q")).cast("int")), "items")
-    by_item = shingle.groupBy("item_id", "width", "q", "size_class").agg(F.array_sort(F.collect_set("h")).alias("hs"))
-    sketch = by_item.select("item_id", "width", F.col("q"), "size_class", F.explode(F.slice("hs", F.lit(1), (F.col("q") - need(F.col("q")) + 1).cast("int"))).alias("h"))
-    sketch = scratch.write(sketch.groupBy("width", "h").agg(F.min(need(F.col("q"))).alias("least"), F.collect_set("item_id").alias("found")), "sketch")
-    probe = broadcast_if_small(sketch, BROADCAST_ROWS)
-    widths = [r.width for r in shingle.select("width").distinct().collect()]  # width values at most
-
+    shingle = scratch.write(shingle.join(sizes, "item_id").select("item_id", "width", "h", "q", need.alias("need"), F.floor(F.log2("q")).cast("int").alias("size_class")), "items")
+    classes = partitions(shingle)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    if not classes:
+        return texts.select("doc_id", F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_shared"), F.lit(0).cast("long").alias("n_item")).where("false")
+    holders = shingle.groupBy("width", "h").agg(F.count("*").alias("holders"))
+    by_item = shingle.join(holders, ["width", "h"]).groupBy("item_id", "width", "q", "need", "size_class").agg(F.array_sort(F.collect_list(F.struct("holders", "h"))).alias("hs"))
+    sketch = by_item.select("item_id", "width", "size_class", F.explode(F.slice("hs", F.lit(1), (F.col("q") - F.col("need") + 1).cast("int"))["h"]).alias("h"))
+    sketch = scratch.write(sketch.groupBy("width", "h").agg(F.min("size_class").alias("lowest"), F.collect_set(F.struct("size_class", "item_id")).alias("found")), "sketch")
+    probe = broadcast_if_small(sketch, BROADCAST_BYTES)
+
+    # rows that repeat an id are one document, whose length no single row tells: none of them is skipped
+    again = scratch.write(texts.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("again")), "again")
+    if again.limit(1).count():
+        texts = texts.join(broadcast_if_small(again, BROADCAST_BYTES), F.col("doc_id") == F.col("again"), "left")
+        reached = F.when(F.col("again").isNotNull(), max(c for c, _, _ in classes)).otherwise(reach(F.size("w"), classes))
+    else:
+        reached = reach(F.size("w"), classes)
+    texts = texts.select("doc_id", "w", reached.alias("reach")).where("reach is not null")
 
     def hashes(of: DataFrame) -> DataFrame:
         out = None
-        for k in widths:
-            made = _shingles(F.col("w"), k)
-            part = of.select("doc_id", F.size("w").alias("n"), F.lit(k).alias("width"), F.explode(made).alias("h"))
+        for k in sorted({w for _, w, _ in classes}):
+            lowest = min(c for c, w, _ in classes if w == k)
+            part = of.where(F.col("reach") >= lowest).select("doc_id", "reach", F.lit(k).alias("width"), F.explode(_shingles(F.col("w"), k)).alias("h"))
             out = part if out is None else out.unionByName(part)
         return out
 
-    if not widths:
-        return texts.select("doc_id", F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_shared"), F.lit(0).cast("long").alias("n_item")).where("false")
-    candidates = hashes(texts).join(probe, ["width", "h"]).where("n - width + 1 >= least").select("doc_id", F.explode("found").alias("item_id")).distinct()
-    candidates = scratch.write(candidates, "candidates")
-    again = texts.join(broadcast_if_small(candidates.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id", "left_semi")
-    every = broadcast_if_small(shingle, BROADCAST_ROWS)
-    shared = hashes(again).drop("n").join(every, ["width", "h"]).groupBy("doc_id", "item_id", "h").agg(F.first("q").alias("q"))
-    shared = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.first("q").alias("n_item"))
-    return shared.join(candidates, ["doc_id", "item_id"], "left_semi").where(F.col("n_shared") >= need(F.col("n_item")))
+    hits = hashes(texts).join(probe, ["width", "h"]).where("lowest <= reach").select("doc_id", "reach", F.explode("found").alias("f"))
+    candidates = scratch.write(hits.where("f.size_class <= reach").select("doc_id", "f.item_id").distinct(), "candidates")
+    once = texts.join(broadcast_if_small(candidates.select("doc_id").distinct(), BROADCAST_BYTES), "doc_id", "left_semi")
+    every = broadcast_if_small(shingle.select("width", "h", "item_id", "q", "need"), BROADCAST_BYTES)
+    # pairs that no sketch proposed go before anything is grouped
+    shared = hashes(once).select("doc_id", "width", "h").join(every, ["width", "h"]).join(broadcast_if_small(candidates, BROADCAST_BYTES), ["doc_id", "item_id"], "left_semi")
+    shared = shared.groupBy("doc_id", "item_id", "h").agg(F.first("q").alias("q"), F.first("need").alias("need")).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.first("q").alias("n_item"), F.first("need").alias("need"))
+    return shared.where("n_shared >= need").select("doc_id", "item_id", "n_shared", "n_item")
+
+
+def partitions(shingle: DataFrame) -> list[tuple[int, int, int]]:
+    """(size class, width, least number of words a document of it needs): a few rows for each power of two."""
+    least = shingle.groupBy("size_class", "width").agg(F.min(F.col("need") + F.col("width") - 1).alias("words")).collect()
+    return sorted((r.size_class, r.width, r.words) for r in least)
+
+
+def reach(n_words: Column, classes: list[tuple[int, int, int]]) -> Column:
+    """The highest size class with an item that so many words can hold; null if there is none."""
+    out = F.lit(None).cast("int")
+    least: dict[int, int] = {}
+    for c, _, n in classes:
+        least[c] = min(n, least.get(c, n))
+    for c in sorted(least):
+        out = F.when(n_words >= least[c], F.lit(c)).otherwise(out)
+    return out
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
@@ -88,5 +119,5 @@ def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
     """The rows of documents that hold no test item; all columns as they are."""
-    hits = search(docs, benchmark, id_col, **more).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(broadcast_if_small(Scratch(docs.sparkSession, "decontam").write(hits, "hits"), BROADCAST_ROWS), docs[id_col] == F.col("__hit"), "left_anti")
+    hits = search(docs, benchmark, id_col, **more).select("doc_id").distinct()
+    return without(docs, hits, id_col, Scratch(docs.sparkSession, "decontam"))

@@ -1,9 +1,12 @@
 """Main text of HTML pages by scoring the element tree.
 
-Elements that never hold the article (menus, forms, adverts, comments, …) are left out of the tree. Each paragraph
-then passes points for its length and its commas to its ancestors, the full sum to the parent and less to those
-further up; a container's sum is discounted by the share of its text inside links. The best container, and those of
-its siblings that score well or are prose themselves, make the article.
+Elements that never hold the article (menus, forms, scripts, hidden parts) are left out of the tree. Elements whose
+class or id speaks of adverts, comments, sidebars and the like are doubtful: they are cut off unless they also carry a
+name of the article, or stand inside a sentence. Each paragraph then passes points for its length and its commas to
+its ancestors, the full sum to the parent and less to those further up; a container's sum is discounted by the share
+of its text inside links. The best container, and those of its siblings that score well or are prose themselves, make
+the article. If that leaves little and a doubtful element holds far more prose, the page's only article carries a
+misleading name: that element is put back and the page is scored again.
 """
 
 from __future__ import annotations
@@ -30,6 +33,11 @@ _UNLIKELY = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comments comment commentlist disqus respond reply replies share sharing social related recommended recommendations widget toolbar pagination pager skip alert".split()
 )
 _LIKELY = frozenset("article content main post entry story body text page".split())
+#: Readers' words: never the article, whatever else the element is called.
+_READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: With one of these a name tells of something nearby (no-comments, with-sidebar), not of the element itself.
+_NEARBY = frozenset("no not has with without open closed on off hide enabled disabled count".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var".split())
 _START = {"article": 25, "main": 20, "section": 3, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "ul": -3, "ol": -3, "li": -3, "dl": -3, "address": -3, "th": -5, "table": -3}
 _PARAGRAPHS = frozenset(("p", "pre", "td", "blockquote", "dd"))
 #: An open element of the first kind ends when one of the others begins.
@@ -37,35 +45,51 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbo
 _HOLDS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
 
+#: Stands where a block was cut off.
+_BREAK = "\n\x0b\n"
+
+
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "size", "linked", "points")
+    __slots__ = ("tag", "likely", "doubt", "reader", "parent", "children", "size", "linked", "points")
 
-    def __init__(self, tag: str, names: frozenset, parent: Node | None):
-        self.tag, self.names, self.parent, self.children = tag, names, parent, []
+    def __init__(self, tag: str, parent: Node | None, likely: bool = False, doubt: bool = False, reader: bool = False):
+        self.tag, self.parent, self.children = tag, parent, []
+        self.likely, self.doubt, self.reader = likely, doubt, reader
         self.size = self.linked = 0
         self.points: float | None = None
 
 
-def _unwanted(tag: str, attributes: str) -> tuple[bool, frozenset]:
-    """Whether an element is left out, and the parts of its class and id."""
+def _names(value: str, whole: bool) -> list[frozenset]:
+    """The parts of each name of a class (or of an id, which is one name)."""
+    return [frozenset(re.split(r"[^a-z0-9]+", name)) for name in ([value] if whole else value.split())]
+
+
+def _judged(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is left out; whether its names are the article's, doubtful, and readers'."""
+    gone = tag in _DROPPED
     if not attributes or attributes.isspace():
-        return tag in _DROPPED, frozenset()
-    names, gone = set(), tag in _DROPPED
+        return gone, False, False, False
+    names: list[frozenset] = []
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            names.update(re.split(r"[^a-z0-9]+", value))
+            names += _names(value, key == "id")
         elif key == "role":
             gone |= value in _ROLES
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             gone = True
-    gone |= bool(names & _UNLIKELY)
-    return gone and (tag not in _NEVER_DROPPED or tag == "article" and bool(names & {"comment", "comments", "related", "ad", "promo"})), frozenset(names)
+    names = [n for n in names if not n & _NEARBY]
+    likely = any(n & _LIKELY and not n & _UNLIKELY for n in names)
+    reader = any(n & _READERS for n in names)
+    doubt = reader or any(n & _UNLIKELY for n in names)
+    if tag in _NEVER_DROPPED:
+        return False, likely, doubt and tag == "article" and any(n & (_READERS | {"related", "ad", "promo"}) for n in names), reader
+    return gone, likely, doubt, reader
 
 
 def parse(page: str) -> Node:
     """The element tree without unwanted elements; tags that are missing or left open are made up for."""
-    root = node = Node("html", frozenset(), None)
+    root = node = Node("html", None)
     skipped: list[str] = []  # open elements from the outermost unwanted one on
     at, last = 0, page.rfind(">")
     while at <= last:
@@ -103,7 +127,7 @@ def parse(page: str) -> Node:
             if up is not None and up.parent is not None:
                 node = up.parent
             elif tag == "p":
-                node.children.append(Node("p", frozenset(), node))
+                node.children.append(Node("p", node))
             continue
         if tag in _RAW:
             at = _raw_end(page, at, tag)
@@ -111,7 +135,7 @@ def parse(page: str) -> Node:
         if tag == "br":
             node.children.append(" ")
             continue
-        gone, names = _unwanted(tag, attributes)
+        gone, *names = _judged(tag, attributes)
         if tag in _CLOSES_P or gone and tag in ("nav", "aside", "form", "menu"):
             up = node
             while up is not None and up.tag != "p" and up.tag not in ("td", "th", "div", "article", "section", "li", "button", "body"):
@@ -132,7 +156,7 @@ def parse(page: str) -> Node:
             if not attributes.endswith("/"):
                 skipped = [tag]
             continue
-        child = Node(tag, names, node)
+        child = Node(tag, node, *names)
         node.children.append(child)
         if not attributes.endswith("/"):
             node = child
@@ -153,6 +177,8 @@ def _measure(root: Node) -> list[Node]:
         node = stack.pop()
         order.append(node)
         stack += [c for c in reversed(node.children) if c.__class__ is Node]
+    for node in order:
+        node.size, node.linked, node.points = 0, 0, None
     for node in reversed(order):
         for c in node.children:
             if c.__class__ is Node:
@@ -188,6 +214,48 @@ def _prose(node: Node) -> bool:
 def article(root: Node) -> list[Node]:
     """The elements that make the article, in page order; none for a page without text."""
     order = _measure(root)
+    cut, where = _cut_off(order)
+    if not cut:
+        return _best(root, order)
+    order = _measure(root)
+    kept = _best(root, order)
+    lost = max((n for n in cut if not n.reader), key=lambda n: n.size - n.linked, default=None)
+    prose = lost.size - lost.linked if lost is not None else 0
+    named = max((n.size - n.linked for n in order if n.likely or n.tag in ("article", "main")), default=0)
+    if prose >= max(140, 4 * sum(n.size for n in kept)) and named < max(140, prose / 8):
+        lost.parent.children[where[id(lost)]], lost.doubt = lost, False
+        return _best(root, _measure(root))
+    return kept
+
+
+def _cut_off(order: list[Node]) -> tuple[list[Node], dict[int, int]]:
+    """Puts a blank in the place of doubtful elements; they, the outermost only, and their places among their siblings.
+
+    Those with a name of the article stay, unless they are readers'; so do those inside a sentence: inline elements
+    whose block has at least as much text beside them.
+    """
+    cut, inside = [], set()
+    for node in order:
+        if id(node.parent) in inside:
+            inside.add(id(node))
+            continue
+        if not node.doubt or node.parent is None or node.likely and not node.reader:
+            continue
+        if node.tag in _INLINE:
+            beside = sum(len(c.strip()) if c.__class__ is not Node else c.size * (c.tag in _INLINE and not c.doubt) for c in node.parent.children)
+            if beside >= node.size:
+                continue
+        inside.add(id(node))
+        cut.append(node)
+    where = {}
+    for parent in {id(n.parent): n.parent for n in cut}.values():
+        for i, c in enumerate(parent.children):
+            if id(c) in inside:
+                where[id(c)], parent.children[i] = i, " " if c.tag in _INLINE else _BREAK
+    return cut, where
+
+
+def _best(root: Node, order: list[Node]) -> list[Node]:
     if not root.size:
         return []
     for node in order:
@@ -196,7 +264,7 @@ def article(root: Node) -> list[Node]:
         points, up, level = 1 + _commas(node) + min(node.size / 100, 3), node.parent, 0
         while up is not None and level < 4:
             if up.points is None:
-                up.points = _START.get(up.tag, 0) + 25 * bool(up.names & _LIKELY)
+                up.points = _START.get(up.tag, 0) + 25 * up.likely - 25 * up.doubt
             up.points += points / (1, 2, 6, 9)[level]
             up, level = up.parent, level + 1
     scored = [(n.points * (1 - _density(n)), n) for n in order if n.points is not None]
@@ -236,7 +304,7 @@ def blocks(roots: list[Node]) -> list[str]:
         stack: list = [root]
         while stack:
             item = stack.pop()
-            if item is None:
+            if item is None or item is _BREAK:
                 end()
             elif item.__class__ is not Node:
                 run.append(item)

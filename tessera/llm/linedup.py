@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tessera.llm import textbytes
 from tessera.llm.components import components
 from tessera.llm.groups import bounds, runs
-from tessera.llm.neardup import BROADCAST_ROWS
+from tessera.llm.names import fresh, need_whole_ids
 from tessera.runtime import Scratch, broadcast_if_small
 
 PERCENT = 80
 CELLS, _SLABS = 1 << 18, 32
-BROADCAST_LINES = 4_000_000
+BROADCAST_BYTES = 32 << 20
 #: Longer lists are compared in squares of so many; a loose group of more sets is dealt into blocks.
 LIST, GROUP, PIVOTS = 512, 512, 8
+LIST_BYTES = 4 << 20
 #: Words counted so often, and 64 times as often as a cell's mean, are dealt into blocks before lists are made.
 HOT, BLOCKS = 1 << 20, 64
 
@@ -302,21 +303,22 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A line, between line feeds, goes if a line earlier by (doc_id, same, line) has 100 * intersection >= ``percent`` *
     union of their sets of words (lower-cased in A-Z only). Lines without words never match. Rows with equal ids and
-    texts share their lines' fate; null ids and null texts take no part.
+    texts share their lines' fate; null ids and null texts take no part. Ids are whole numbers.
     """
+    need_whole_ids(docs, id_col)
     spark = docs.sparkSession
     scratch = Scratch(spark, "linedup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("same"), "text")
     held = scratch.write(texts.mapInArrow(_keys, "doc_id long, same long, line int, k1 long, k2 long, counts binary"), "lines")
-    counts = spark.sparkContext.broadcast(rarity(held.where("counts is not null").select(F.col("line").alias("slab"), "counts")))
+    cells = rarity(held.where("counts is not null").select(F.col("line").alias("slab"), "counts"))
+    counts = spark.sparkContext.broadcast(cells)
     lines = held.where("counts is null").drop("counts")
     classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "same", "line")).alias("r")).select("k1", "k2", "r.*")
     classes = scratch.write(classes, "classes")
-    firsts = classes.groupBy(F.col("doc_id").alias("_doc"), F.col("same").alias("_same")).agg(F.collect_list("line").alias("lines"))
-    if classes.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
-        firsts = F.broadcast(firsts)  # so many numbers of four bytes, and fewer documents, at most
-    rows = texts.join(firsts, (F.col("doc_id") == F.col("_doc")) & (F.col("same") == F.col("_same"))).select("text", "lines")
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    firsts = scratch.write(classes.groupBy(F.col("doc_id").alias("_doc"), F.col("same").alias("_same")).agg(F.collect_list("line").alias("lines")), "firsts")
+    rows = texts.join(broadcast_if_small(firsts, BROADCAST_BYTES), (F.col("doc_id") == F.col("_doc")) & (F.col("same") == F.col("_same"))).select("text", "lines")
+    # about a quarter of all words is in prefixes; a list of all its words' postings is LIST_BYTES then
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(cells.sum()) * _POSTING.itemsize // (4 * LIST_BYTES))
     posted = rows.mapInArrow(_postings(counts, percent, parts), "list long, packed binary")
     loose = posted.repartition("list").sortWithinPartitions("list").mapInArrow(_loose(percent), "a long, b long").distinct()
     groups = components(loose, scratch, "loose")
@@ -325,9 +327,10 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = classes.select(F.col("k1").alias("node"), "doc_id", "same", "line").join(groups, "node").join(sizes, "component")
     placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     wanted = placed.groupBy(F.col("doc_id").alias("_doc"), F.col("same").alias("_same")).agg(F.collect_list(F.struct("line", "component", "part", "parts")).alias("chosen"))
-    wanted = broadcast_if_small(scratch.write(wanted, "wanted"), BROADCAST_ROWS)
+    wanted = broadcast_if_small(scratch.write(wanted, "wanted"), BROADCAST_BYTES)
     rows = texts.join(wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("same") == F.col("_same"))).select("doc_id", "same", "chosen", "text")
     sets = scratch.write(rows.mapInArrow(_wanted, "component long, part int, parts int, doc_id long, same long, line int, words binary"), "sets")
+    scratch.drop("firsts", "wanted")
     columns = ["role", "doc_id", "same", "line", "words"]
 
     def matched(rows: DataFrame) -> DataFrame:
@@ -341,7 +344,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = scratch.write(matched(own.unionByName(first.drop("_from"))), "gone")
     if sets.where("parts > 1").limit(1).count():
         rest = own.where("parts > 1").join(gone, ["doc_id", "same", "line"], "left_anti").withColumn("_from", F.col("part")).withColumn("part", spread).where("part != _from").withColumn("role", F.lit(2))
-        gone = scratch.write(gone.union(matched(own.where("parts > 1").unionByName(rest.drop("_from")))).distinct(), "gone")
+        gone = scratch.write(gone.union(matched(own.where("parts > 1").unionByName(rest.drop("_from")))).distinct(), "all_gone")
+    scratch.drop("sets")
 
     kept = classes.select("k1", "k2", F.col("doc_id").alias("_d"), F.col("same").alias("_s"), F.col("line").alias("_l"))
     kept = kept.join(gone, (F.col("_d") == gone["doc_id"]) & (F.col("_s") == gone["same"]) & (F.col("_l") == gone["line"]), "left_anti")
@@ -350,15 +354,22 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return removed.groupBy("doc_id", "same").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, counted: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, counted: bool = False, drop_emptied: bool = False) -> DataFrame:
     """docs with later matches of lines removed from the text; all other columns as they are.
 
-    With ``counted`` also __n_lines and __n_removed (0 for a null text). A text that loses all its lines is empty.
+    With ``counted`` also __n_lines and __n_removed (0 for a null text). A text that loses all its lines is empty;
+    with ``drop_emptied`` such a row goes, while texts that were empty before stay.
     """
     removed = Scratch(docs.sparkSession, "linedup").write(duplicate_lines(docs, id_col, text_col, percent), "removed")
-    removed = broadcast_if_small(removed, BROADCAST_ROWS).select(F.col("doc_id").alias("__d"), F.col("same").alias("__s"), F.col("lines").alias("__lines"))
-    joined = docs.join(removed, (docs[id_col] == F.col("__d")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__s")), "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__lines", i)), "\n"))
-    out = joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *([F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(parts)), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.when(F.col("__lines").isNotNull(), F.size("__lines")), F.lit(0)).cast("long").alias("__n_removed")] if counted else []))
-    return out
+    own = fresh(docs)
+    removed = broadcast_if_small(removed, BROADCAST_BYTES).select(F.col("doc_id").alias(f"{own}_id"), F.col("same").alias(f"{own}_same"), F.col("lines").alias(f"{own}_lines"))
+    joined = docs.join(removed, (docs[id_col].cast("long") == removed[f"{own}_id"]) & (F.xxhash64(docs[text_col].cast("string")) == removed[f"{own}_same"]), "left")
+    gone, parts = removed[f"{own}_lines"], F.split(docs[text_col], "\n", -1)
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    if drop_emptied:
+        joined = joined.where(gone.isNull() | (F.size(gone) < F.size(parts)) & (F.trim(left, F.lit(" \t\n\x0b\x0c\r")) != ""))
+    text = F.when(gone.isNull(), docs[text_col]).otherwise(left)
+    n_lines = F.coalesce(F.when(docs[text_col].isNotNull(), F.size(parts)), F.lit(0)).cast("long")
+    n_removed = F.coalesce(F.when(gone.isNotNull(), F.size(gone)), F.lit(0)).cast("long")
+    more = [n_lines.alias("__n_lines"), n_removed.alias("__n_removed")] if counted else []
+    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], *more)

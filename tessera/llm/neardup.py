@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tessera.llm import textbytes
 from tessera.llm.components import components
 from tessera.llm.groups import bounds, runs
+from tessera.llm.names import fresh, need_whole_ids
 from tessera.runtime import Scratch, broadcast_if_small
 
 BANDS, ROWS = 40, 6
@@ -31,7 +32,7 @@ SKETCH_BITS = 512
 #: Sketches that differ in more bits are of sets with a similarity of about 0.6 or less (0.8 differs in 80 +- 10).
 LOOSE_BITS = 135
 BUCKET, GROUP, PIVOTS = 2048, 512, 8
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 _rng = np.random.default_rng(40_006)
 _FACTOR = _rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -193,12 +194,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are lower-cased in A-Z only and split at 0x20 and 0x09-0x0D; a text's set is its shingles of ``width`` words
     (its whole sequence if it has fewer). Sets are linked where 100 * intersection >= ``percent`` * union. A text
     without words (or null) has no shingles and no links. Rows that repeat an id are one document, which has the
-    links of each; a null id isn't linked, has no component and is kept. Other columns aren't used.
+    links of each; a null id isn't linked, has no component and is kept. Ids are whole numbers; other columns aren't
+    used.
     """
     if percent < 80:
         raise ValueError("bands and sketches are laid out for links of 80 percent or more")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+    need_whole_ids(docs, id_col)
+    scratch = Scratch(docs.sparkSession, "neardup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.write(texts.mapInArrow(_signed(width), "doc_id long, n long, same binary, bands array<long>, sketch binary"), "signed")
     usable = signed.where("n > 0 and doc_id is not null")
@@ -215,6 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucketed = members.select("class", bucket.alias("bucket")).join(reps.select("class", "n", "sketch"), "class").select("bucket", "class", "n", "sketch")
     loose = bucketed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_loose, "a long, b long").distinct()
     groups = components(loose, scratch, "loose")
+    scratch.drop("reps")
 
     sizes = groups.groupBy("component").agg(F.count("*").alias("m"))
     grouped = groups.join(sizes, "component").withColumn("parts", _blocks("m", GROUP)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -224,16 +227,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = pivots.where(f"pmod(part, greatest(parts div {PIVOTS}, 1)) = 0").select("node", "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     own = grouped.select("node", "component", "part", F.lit(0).alias("role"))
     work = own.union(pivots.select("node", "component", "part", F.lit(1).alias("role")))
-    schema = "a long, b long"
 
-    def verified(work: DataFrame) -> DataFrame:
+    def verified(work: DataFrame, name: str) -> DataFrame:
         """work: node, component, part, role, label"""
-        held = broadcast_if_small(work, BROADCAST_ROWS)
-        rows = texts.join(held, texts["doc_id"] == work["node"])
+        work = scratch.write(work, f"{name}_work")
+        rows = texts.join(broadcast_if_small(work, BROADCAST_BYTES), texts["doc_id"] == work["node"])
         rows = rows.select(F.xxhash64("component", "part").alias("group"), "role", "label", "node", "text")
-        return rows.repartition("group").sortWithinPartitions("group", "role", "node").mapInArrow(_verified(width, percent), schema)
+        found = rows.repartition("group").sortWithinPartitions("group", "role", "node").mapInArrow(_verified(width, percent), "a long, b long")
+        found = scratch.write(found.distinct(), name)
+        scratch.drop(f"{name}_work")
+        return found
 
-    exact = scratch.write(verified(scratch.write(work.withColumn("label", F.col("node")), "work")).distinct(), "exact")
+    exact = verified(work.withColumn("label", F.col("node")), "exact")
     if large.limit(1).count():
         so_far = components(exact, scratch, "so_far")
         joined = large.join(so_far.select("node", F.col("component").alias("strict")), "node", "left").withColumn("strict", F.coalesce("strict", "node"))
@@ -243,8 +248,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         split = joined.join(main, "component")
         rest = split.where("strict != main").select("node", "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "strict")
         again = split.select("node", "component", "part", F.lit(0).alias("role"), "strict").union(rest).withColumnRenamed("strict", "label")
-        exact = exact.union(verified(scratch.write(again, "again")).distinct())
+        exact = exact.union(verified(again, "again"))
     final = components(exact, scratch, "final")
+    scratch.drop("grouped", "exact", "again", "strict")
 
     ids = signed.select("doc_id", "n", "same").join(classes, "same", "left").join(final, F.col("class") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class", "doc_id"))
@@ -253,6 +259,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
     """The rows of the smallest id of each group, all columns as they are; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, **more).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = Scratch(docs.sparkSession, "neardup").write(gone, "gone")
-    return docs.join(broadcast_if_small(gone, BROADCAST_ROWS), docs[id_col] == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, **more).where("not kept").select("doc_id").distinct()
+    return without(docs, gone, id_col, Scratch(docs.sparkSession, "neardup"))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
+    """The rows of docs whose id isn't among ``gone`` (one column), whatever the columns of docs are called."""
+    key = fresh(docs)
+    gone = broadcast_if_small(scratch.write(gone.toDF(key), "gone"), BROADCAST_BYTES)
+    return docs.join(gone, docs[id_col] == gone[key], "left_anti")

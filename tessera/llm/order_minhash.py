@@ -11,6 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.llm.names import need_whole_ids
+from tessera.runtime import stored_bytes
+
+#: A range of ids is about so many stored bytes.
+RANGE_BYTES = 32 << 20
 K, PICKED, SAMPLINGS = 2, 2, 64
 #: A k-mer is a long of 35 hash bits above 28 bits for its place; the hash's top 6 bits are the sampling.
 _PLACE, _HASH, _SAMPLING = 28, 35, 57
@@ -65,40 +70,42 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def _bucket(key: Column, cuts: list) -> Column:
-    """Number of cuts at or below the key, as a balanced tree of comparisons."""
+def _range_of(key: Column, cuts: list) -> Column:
+    """Number of cuts at or below the key by binary search, whatever their number; -1 for a null key."""
+    if not cuts:
+        return F.when(key.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    sorted_cuts = F.expr("array(" + ", ".join(f"{c}L" if isinstance(c, int) else f"{c!r}D" for c in cuts) + ")")
+    state = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        below = key < F.get(sorted_cuts, mid)
+        return F.when(acc["lo"] >= acc["hi"], acc).when(below, state(acc["lo"], mid)).otherwise(state(mid + 1, acc["hi"]))
 
-    return F.when(key.isNull(), F.lit(-1)).otherwise(tree(0, len(cuts)))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), state(F.lit(0), F.lit(len(cuts))), halve, lambda acc: acc["lo"])
+    return F.when(key.isNull(), F.lit(-1)).otherwise(found)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """doc_id, text, sketch, next_text, next_sketch: the next row by ascending id (ties by text), after the last the first.
 
-    Rows are dealt to ranges of ids cut at quantiles; each range also gets the first row of the next one, so no
-    window spans the table. Only the ranges' first ids, one each, pass through the driver. Null ids come first.
+    Rows are dealt to ranges of ids cut at quantiles, as many as the table's bytes ask for; each range also gets the
+    first row of the next one, so no window spans the table. Only the ranges' first ids pass through the driver.
+    Null ids come first, in one range; rows that repeat an id are in one range too.
     """
+    need_whole_ids(docs, id_col)
     spark = docs.sparkSession
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranges = min(512, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(picked.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
-    kind = picked.schema["doc_id"].dataType
-    cuts = [int(c) for c in cuts] if kind.typeName() in ("long", "integer", "short", "byte") else cuts
-    bucket = _bucket(F.col("doc_id"), cuts)
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(stored_bytes(docs.select(id_col, text_col)) or 0) // RANGE_BYTES))
+    cuts = sorted({int(c) for c in picked.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))})
+    bucket = _range_of(F.col("doc_id"), cuts)
     firsts = sorted((r.b, r.first) for r in picked.groupBy(bucket.alias("b")).agg(F.min("doc_id").alias("first")).collect())
     rows = picked.select("doc_id", "text", bucket.alias("__omh_range"), F.lit(0).alias("__omh_guest"))
     if firsts:
-        before = {firsts[i][0]: firsts[i - 1][0] for i in range(len(firsts))}
-        ids = [f for _, f in firsts if f is not None]
-        guests = picked.where(F.col("doc_id").isin(ids) | (F.col("doc_id").isNull() if len(ids) < len(firsts) else F.lit(False)))
-        guests = guests.groupBy("doc_id").agg(F.min("text").alias("text"))
-        home = F.element_at(F.create_map(*[F.lit(x) for b, p in before.items() for x in (b, p)]), bucket)
-        rows = rows.unionByName(guests.select("doc_id", "text", home.alias("__omh_range"), F.lit(1).alias("__omh_guest")))
+        # a row for each range: the first id of the next one (after the last, of the first) and the range it is a guest of
+        homes = F.broadcast(spark.createDataFrame([(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], "first long, home int"))
+        guests = picked.join(homes, F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("home").agg(F.min(F.struct("doc_id", "text")).alias("x"))
+        rows = rows.unionByName(guests.select("x.doc_id", "x.text", F.col("home").alias("__omh_range"), F.lit(1).alias("__omh_guest")))
     rows = with_sketch(rows, "text", "sketch", k)
     order = Window.partitionBy("__omh_range").orderBy("__omh_guest", F.col("doc_id").asc_nulls_first(), "text")
     rows = rows.select("*", F.lead("text").over(order).alias("next_text"), F.lead("sketch").over(order).alias("next_sketch"))

@@ -19,6 +19,8 @@ from tessera.llm import tokens
 from tessera.runtime import Scratch
 
 LENGTH = 4096
+#: Ids of a partition: so many bytes at most, and as few as this where the cluster has the tasks for it.
+PART_BYTES, LEAST_BYTES = 64 << 20, 6 << 20
 DIMENSIONS, BITS, BUCKETS = 4, 10, 64
 
 
@@ -154,7 +156,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """
     spark = docs.sparkSession
     held = Scratch(spark, "packing").write(tokenise(docs, id_col, text_col, tokenizer, cache), "tokens")
-    ordered = held.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
+    size = 2 * (held.agg(F.sum("doc_tokens")).first()[0] or 0)
+    parts = max(1, -(-size // PART_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BYTES)))
+    ordered = held.repartitionByRange(parts, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
     kind = held.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return ordered.select("doc_id", "doc_tokens", "ids").mapInArrow(_packed(length, with_ids), schema)

@@ -19,6 +19,8 @@ test documents with equal words that hold a value on the same line count once. A
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,24 +38,50 @@ PATTERNS = {
 #: What a text must contain before a kind's pattern is tried.
 _FIRST = {"email": r"[A-Za-z0-9]@|[._%+-]@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": PATTERNS["card"], "phone": r"\+[0-9]"}
 REMOVE, GENERALISE, CHANCE = 0.95, 0.8, 0.05
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 _SPAN = "struct<kind: string, start: bigint, stop: bigint, value: string>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
+def _walk(text: Column, pattern: str, keeps: Callable[[Column], Column], kind: Callable[[Column], Column]) -> Column:
+    """Spans of the matches that ``keeps`` keeps, in code points: what lies between matches gives their places.
+
+    Matches are walked in about as many blocks as a block has matches, so that arrays grow by appending in blocks
+    only: time goes with n times the root of n, not with its square.
+    """
+
+    def step(acc: Column, z: Column) -> Column:
+        start = (acc["at"] + F.length(z["gap"])).cast("long")
+        stop = (start + F.coalesce(F.length(z["hit"]), F.lit(0))).cast("long")
+        span = F.struct(kind(z["hit"]).alias("kind"), start.alias("start"), stop.alias("stop"), z["hit"].alias("value"))
+        return F.struct(stop.alias("at"), F.when(z["hit"].isNotNull() & keeps(z["hit"]), F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+
+    def walked(z: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(z))).cast("int")
+        starts = F.sequence(F.lit(0), F.floor((F.size(z) - 1) / size).cast("int"))
+        block = lambda k: F.aggregate(F.slice(z, k * size + 1, size), F.expr(f"struct(0L as at, cast(array() as array<{_SPAN}>) as found)"), step)
+        return _let(F.transform(starts, block), joined)
+
+    def joined(blocks: Column) -> Column:
+        before = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x["at"]))
+        moved = lambda x, by: F.transform(x["found"], lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + by).alias("start"), (s["stop"] + by).alias("stop"), s["value"].alias("value")))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), moved))
+
+    return _let(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")), walked)
+
+
 def base_spans(text: Column, kind: str) -> Column:
-    """The kind's spans in code points, end exclusive: what lies between matches gives their places."""
-    pattern = F.lit(PATTERNS[kind])
-    walked = F.aggregate(
-        F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit")),
-        F.expr(f"struct(0L as at, cast(array() as array<{_SPAN}>) as found)"),
-        lambda acc, z: F.struct(
-            (acc["at"] + F.length(z["gap"]) + F.coalesce(F.length(z["hit"]), F.lit(0))).cast("long").alias("at"),
-            F.when(z["hit"].isNotNull() & _predicate(kind, z["hit"]), F.array_append(acc["found"], F.struct(F.lit(kind).alias("kind"), (acc["at"] + F.length(z["gap"])).cast("long").alias("start"), (acc["at"] + F.length(z["gap"]) + F.length(z["hit"])).cast("long").alias("stop"), z["hit"].alias("value")))).otherwise(acc["found"]).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    return F.when(F.regexp_like(text, F.lit(_FIRST[kind])), walked).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
+    """The kind's spans in code points, end exclusive."""
+    return F.when(F.regexp_like(text, F.lit(_FIRST[kind])), _walk(text, PATTERNS[kind], lambda m: _predicate(kind, m), lambda _: F.lit(kind))).otherwise(_NO_SPANS())
+
+
+def _NO_SPANS() -> Column:
+    return F.expr(f"cast(array() as array<{_SPAN}>)")
 
 
 def _bare(part: Column) -> Column:
@@ -79,29 +107,29 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.regexp_like(t, F.lit(r"\p{L}")))
 
 
-def _values(text: Column, spans: Column) -> Column:
-    """For each base span its value and a hash of its line without it."""
+def _values(line: Column) -> Column:
+    """For each base span of a line its value and a hash of what the line holds beside its kind's matches. No pattern crosses a line feed."""
 
-    def one(s: Column) -> Column:
-        left = F.element_at(F.split(F.substring(text, F.lit(1), s["start"].cast("int")), "\n", -1), -1)
-        right = F.element_at(F.split(F.substring(text, (s["stop"] + 1).cast("int"), F.length(text)), "\n", 2), 1)
-        value = F.when(s["kind"].isin("card", "phone"), F.regexp_replace(s["value"], "[^0-9]", "")).otherwise(F.lower(s["value"]))
-        return F.struct(F.concat_ws(":", s["kind"], value).alias("entity"), F.xxhash64(left, right).alias("line"))
+    def of(kind: str) -> Column:
+        hits = F.filter(F.regexp_extract_all(line, F.lit(PATTERNS[kind]), F.lit(0)), lambda m: _predicate(kind, m))
+        value = (lambda m: F.regexp_replace(m, "[^0-9]", "")) if kind in ("card", "phone") else F.lower
+        made = _let(F.xxhash64(F.split(line, PATTERNS[kind], -1)), lambda rest: F.transform(hits, lambda m: F.struct(F.concat(F.lit(kind + ":"), value(m)).alias("entity"), rest.alias("line"))))
+        return F.when(F.regexp_like(line, F.lit(_FIRST[kind])), made).otherwise(F.expr("cast(array() as array<struct<entity: string, line: bigint>>)"))
 
-    return F.transform(spans, one)
+    return F.concat(*[of(k) for k in KINDS])
 
 
-def _outside(text: Column, spans: Column) -> Column:
-    """The text with a blank for each base span."""
-    return F.aggregate(
-        F.array_sort(spans, lambda a, b: (a["start"] - b["start"]).cast("int")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["stop"]).alias("at"),
-            F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int")), F.lit(" ")).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
-    )
+def _blanked(text: Column) -> Column:
+    """The text with blanks, as many as it has code points, in the place of each base span."""
+    for kind in KINDS:
+        text = _let(text, partial(_without, kind))
+    return text
+
+
+def _without(kind: str, text: Column) -> Column:
+    blank = lambda gap, m: F.concat(gap, F.when(m.isNull(), "").when(_predicate(kind, m), F.repeat(F.lit(" "), F.length(m))).otherwise(m))
+    joined = F.array_join(F.zip_with(F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), blank), "")
+    return F.when(F.regexp_like(text, F.lit(_FIRST[kind])), joined).otherwise(text)
 
 
 def _copy_keys(terms: Column) -> Column:
@@ -131,67 +159,66 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", genera
     """doc_id, text, base and extra (arrays of kind, start, stop, value) for each row.
 
     A null text is empty and has no spans; a null id keeps its base spans and has no others; rows that repeat an
-    id are all kept and counted as one document; other columns aren't used. Terms that overlap a base span are left
-    to it. In ``extra`` the kind is term_removed or term_general.
+    id are all kept and counted as one document; other columns aren't used. Terms are sought beside base spans, which
+    are blank to them. In ``extra`` the kind is term_removed or term_general.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "pii")
+    scratch = Scratch(docs.sparkSession, "pii")
     picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = F.concat(*[base_spans(F.col("text"), k) for k in KINDS])
-    near = picked.where("doc_id is not null").select("doc_id", "text", base.alias("base")).where(F.size("base") > 0)
-    near = near.select("doc_id", _values(F.col("text"), F.col("base")).alias("values"), F.array_distinct(_terms(_outside(F.col("text"), F.col("base")))).alias("terms"))
-    near = scratch.write(near.groupBy("doc_id").agg(F.flatten(F.collect_list("values")).alias("values"), F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")), "near")
-    held = near.select("doc_id", F.explode("values").alias("v")).groupBy("v.entity", "doc_id").agg(F.min("v.line").alias("line"))
+    some = lambda c: reduce(lambda a, b: a | b, [F.regexp_like(c, F.lit(_FIRST[k])) for k in KINDS])
+    known = picked.where("doc_id is not null")
+    lines = known.where(some(F.col("text"))).select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where(some(F.col("line")))
+    held = lines.select("doc_id", F.explode(_values(F.col("line"))).alias("v")).groupBy("v.entity", "doc_id").agg(F.min("v.line").alias("line"))
+    held = scratch.write(held, "values")
     # a value of one document meets no term again
-    held = held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")).where("n_e > 1"), "entity")
-    held = scratch.cut(held.join(near.select("doc_id", "terms"), "doc_id").select("entity", "doc_id", "line", "n_e", "terms", _copy_keys(F.col("terms")).alias("keys")), "held")
-    keys = held.select("entity", "doc_id", "line", F.explode("keys").alias("key"))
+    held = scratch.write(held.join(held.groupBy("entity").agg(F.count("*").alias("n_e")).where("n_e > 1"), "entity"), "held")
+    of = broadcast_if_small(held.select("doc_id").distinct(), BROADCAST_BYTES)
+    terms = known.join(of, "doc_id", "left_semi").select("doc_id", F.array_distinct(_terms(_blanked(F.col("text")))).alias("terms"))
+    terms = terms.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    terms = scratch.write(terms.select("doc_id", "terms", _copy_keys(F.col("terms")).alias("keys")), "terms")
+    keys = held.select("entity", "doc_id", "line").join(terms.select("doc_id", "keys"), "doc_id").select("entity", "doc_id", "line", F.explode("keys").alias("key"))
     first = keys.groupBy("entity", "line", "key").agg(F.min("doc_id").alias("unit"))
     units = keys.join(first, ["entity", "line", "key"]).groupBy("entity", "doc_id").agg(F.min("unit").alias("unit"))
-    held = scratch.cut(held.join(units, ["entity", "doc_id"]).select("entity", "unit", "n_e", "terms"), "units")
+    held = scratch.write(held.join(units, ["entity", "doc_id"]).select("entity", "doc_id", "unit", "n_e"), "units")
     entities = held.groupBy("entity").agg(F.countDistinct("unit").alias("m_e"), F.first("n_e").alias("n_e")).where("m_e > 1")
-    pairs = held.select("entity", "unit", F.explode("terms").alias("term")).groupBy("entity", "term", "unit").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("m_te"), F.sum("n").alias("n_te"))
-    pairs = scratch.write(pairs.join(entities, "entity"), "pairs")
-    total = picked.agg(F.countDistinct("doc_id").alias("n"))
-    tested = pairs.agg(F.greatest(F.count("*"), F.lit(1)).alias("tests"))
-    least = F.log(chance / F.col("tests"))
+    told_by = held.join(entities.select("entity"), "entity", "left_semi").join(terms.select("doc_id", "terms"), "doc_id")
+    pairs = told_by.select("entity", "unit", F.explode("terms").alias("term")).groupBy("entity", "term", "unit").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("m_te"), F.sum("n").alias("n_te"))
+    tested = scratch.write(pairs, "pairs")
+    # two numbers
+    tests, total = max(tested.join(entities, "entity", "left_semi").count(), 1), picked.select("doc_id").distinct().where("doc_id is not null").count()
+    least, n = F.lit(math.log(chance / tests)), F.lit(float(total))
     # what no count of the term makes significant needs no count
-    pairs = scratch.cut(pairs.join(F.broadcast(total), how="cross").join(F.broadcast(tested), how="cross").where((F.col("n") > F.col("n_e")) & (log_chance(F.col("n"), F.col("m_te"), F.col("m_e"), F.col("m_te")) <= least)), "open")
-    wanted = broadcast_if_small(pairs.select("term").distinct(), BROADCAST_ROWS)
+    open_ = tested.join(entities, "entity").where((n > F.col("n_e")) & (log_chance(n, F.col("m_te"), F.col("m_e"), F.col("m_te")) <= least))
+    open_ = scratch.write(open_, "open")
+    scratch.drop("values", "held", "terms", "units", "pairs")
+    wanted = broadcast_if_small(scratch.write(open_.select("term").distinct(), "wanted"), BROADCAST_BYTES)
     # rows that repeat an id are told from the others, whose terms are counted without their ids
-    again = broadcast_if_small(picked.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1"), BROADCAST_ROWS)
-    words = lambda few: picked.where("doc_id is not null").join(again, "doc_id", "left").select("doc_id", "times", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).join(few, "term")
-    single = words(wanted).where("times is null").groupBy("term").agg(F.count("*").alias("n_t"))
-    repeated = words(wanted).where("times is not null").select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    counts = single.union(repeated).groupBy("term").agg(F.sum("n_t").alias("n_t"))
-    score = F.log(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
-    sure = log_chance(F.col("n"), F.col("n_t") - F.col("n_te") + F.col("m_te"), F.col("m_e"), F.col("m_te")) <= least
-    told = pairs.join(counts, "term").where(sure).groupBy("term").agg(F.max(score).alias("disclosure")).where(F.col("disclosure") >= generalise)
-    told = scratch.cut(told, "told")
-    by_doc = words(broadcast_if_small(told, BROADCAST_ROWS)).select("doc_id", "term", "disclosure").distinct().groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.when(F.col("disclosure") >= remove, "term_removed").otherwise("term_general")))).alias("told"))
-
-    joined = picked.join(by_doc.withColumnRenamed("doc_id", "_told"), F.col("doc_id") == F.col("_told"), "left")
-    joined = joined.select("doc_id", "text", "told", base.alias("base"))
-    return joined.select("doc_id", "text", "base", F.when(F.col("told").isNotNull(), _extra()).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)")).alias("extra"))
+    again = scratch.write(known.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1"), "again")
+    repeats = again.limit(1).count() > 0
+    marked = known.join(broadcast_if_small(again, BROADCAST_BYTES), "doc_id", "left") if repeats else known.withColumn("times", F.lit(None).cast("long"))
+    words = lambda few: marked.select("doc_id", "times", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term")).join(few, "term")
+    counts = words(wanted).where("times is null").groupBy("term").agg(F.count("*").alias("n_t"))
+    if repeats:
+        repeated = words(wanted).where("times is not null").select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+        counts = counts.union(repeated).groupBy("term").agg(F.sum("n_t").alias("n_t"))
+    counts = scratch.write(counts, "counts")  # as a table, so that the rows of a frequent term can be split in the join
+    score = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
+    sure = log_chance(n, F.col("n_t") - F.col("n_te") + F.col("m_te"), F.col("m_e"), F.col("m_te")) <= least
+    told = open_.join(broadcast_if_small(counts, BROADCAST_BYTES), "term").where(sure).groupBy("term").agg(F.max(score).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    told = scratch.write(told, "told")
+    by_doc = words(broadcast_if_small(told, BROADCAST_BYTES)).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("term", F.when(F.col("disclosure") >= remove, "term_removed").otherwise("term_general")))).alias("told"))
+    by_doc = broadcast_if_small(scratch.write(by_doc.withColumnRenamed("doc_id", "_told"), "by_doc"), BROADCAST_BYTES)
+
+    base = F.concat(*[base_spans(F.col("text"), k) for k in KINDS])
+    joined = picked.join(by_doc, F.col("doc_id") == F.col("_told"), "left")
+    return joined.select("doc_id", "text", base.alias("base"), F.when(F.col("told").isNotNull(), _extra()).otherwise(_NO_SPANS()).alias("extra"))
 
 
 def _extra() -> Column:
     """Spans of the document's telling terms, outside its base spans."""
-    text, told, run = F.col("text"), F.col("told"), r"[\p{L}\p{N}]+"
-    walked = F.aggregate(
-        F.arrays_zip(F.split(text, run, -1).alias("gap"), F.regexp_extract_all(text, F.lit(run), F.lit(0)).alias("hit")),
-        F.expr(f"struct(0L as at, cast(array() as array<{_SPAN}>) as found)"),
-        lambda acc, z: F.struct(
-            (acc["at"] + F.length(z["gap"]) + F.coalesce(F.length(z["hit"]), F.lit(0))).cast("long").alias("at"),
-            F.when(
-                F.coalesce(F.map_contains_key(told, F.lower(z["hit"])), F.lit(False)),
-                F.array_append(acc["found"], F.struct(told[F.lower(z["hit"])].alias("kind"), (acc["at"] + F.length(z["gap"])).cast("long").alias("start"), (acc["at"] + F.length(z["gap"]) + F.length(z["hit"])).cast("long").alias("stop"), z["hit"].alias("value"))),
-            ).otherwise(acc["found"]).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    free = F.filter(walked, lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return F.concat(F.filter(free, lambda s: s["kind"] == "term_removed"), F.filter(free, lambda s: s["kind"] == "term_general"))
+    told = F.col("told")
+    held = lambda m: F.coalesce(F.map_contains_key(told, F.lower(m)), F.lit(False))
+    walked = _walk(_blanked(F.col("text")), r"[\p{L}\p{N}]+", held, lambda m: F.try_element_at(told, F.lower(m)))
+    return _let(walked, lambda spans: F.concat(F.filter(spans, lambda s: s["kind"] == "term_removed"), F.filter(spans, lambda s: s["kind"] == "term_general")))
 
 
 def listed(spans: Column) -> Column:
@@ -218,4 +245,5 @@ def digest(found: DataFrame) -> DataFrame:
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [F.size(F.array_remove(F.array_append(kinds, "none"), k)).cast("long") for k in KINDS]
     counts = [(F.size(kinds) + 1 - c).cast("long").alias(f"n_{k}") for k, c in zip(KINDS, counts, strict=True)]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "extra")).alias("spans"), F.size("extra").cast("long").alias("n_terms"))
+    every = F.size("base").cast("long")
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "extra")).alias("spans"), F.size("extra").cast("long").alias("n_terms"), every.alias("n_base"), (every > 0).alias("has_pii"))

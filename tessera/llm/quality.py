@@ -20,7 +20,7 @@ from tessera.llm.toxicity import held_out
 from tessera.runtime import Scratch
 
 #: Entries for words and for shapes, length of vectors, and the most labelled rows that are learnt from (by hashed id).
-WORDS, SHAPES, SIZE, EXAMPLES = 3072, 1024, 32, 20_000
+WORDS, SHAPES, SIZE, EXAMPLES = 31_744, 1024, 32, 20_000
 HIDDEN, EPOCHS, THRESHOLD = 24, 60, 0.7
 _SLABS = 16
 
@@ -28,8 +28,8 @@ _SLABS = 16
 def _index_vectors() -> np.ndarray:
     rng = np.random.default_rng(1729)
     vectors = np.zeros((WORDS + SHAPES, SIZE), np.float32)
-    for row in vectors:
-        row[rng.choice(SIZE, 4, replace=False)] = rng.choice([-1, 1], 4)
+    places = np.argsort(rng.random(vectors.shape), axis=1)[:, :4]
+    np.put_along_axis(vectors, places, rng.choice(np.array([-1, 1], np.float32), places.shape), axis=1)
     return vectors
 
 
@@ -55,7 +55,14 @@ def entries(w: textbytes.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each task's sums of neighbours' index vectors, in slabs of entries."""
-    total = np.zeros((SIZE, WORDS + SHAPES))
+    total, held, size = np.zeros((SIZE, WORDS + SHAPES)), [], 0
+
+    def add() -> None:
+        at = np.concatenate([e for e, _ in held])
+        near = np.concatenate([v for _, v in held])
+        for d in range(SIZE):
+            total[d] += np.bincount(at, near[:, d], WORDS + SHAPES)
+
     for batch in batches:
         for w in textbytes.words(batch.column(0)):
             if len(w.hashes) < 2:
@@ -68,9 +75,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside[firsts[(firsts > 0) & (firsts < len(words))] - 1] = False
             near[1:] += vectors[:-1] * inside[:, None]
             near[:-1] += vectors[1:] * inside[:, None]
-            for d in range(SIZE):
-                column = np.ascontiguousarray(near[:, d])
-                total[d] += np.bincount(words, column, WORDS + SHAPES) + np.bincount(shapes, column, WORDS + SHAPES)
+            held += [(words, near), (shapes, near)]
+            size += len(words)
+            if size > 1 << 18:
+                add()
+                held, size = [], 0
+    if held:
+        add()
     if total.any():
         slabs = [np.ascontiguousarray(x).tobytes() for x in np.split(total.T.astype("<f4"), _SLABS)]
         yield pa.record_batch([pa.array(range(_SLABS), pa.int32()), pa.array(slabs, pa.binary())], ["slab", "sums"])

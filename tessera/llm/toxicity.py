@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm import textbytes
-from tessera.llm.neardup import samples, sets_of
+from tessera.llm.neardup import samples, sets_of, without
 from tessera.runtime import Scratch
 
-#: At most so many labelled rows are learnt from (by the hash of their ids), and so many terms are kept.
-EXAMPLES, TERMS = 20_000, 2_000
-#: A kept term's log-likelihood ratio is LEAST_G2 at least, and this share of the largest.
-NEIGHBOURS, BLOCK, LEAST_G2, SHARE_G2, THRESHOLD = 15, 64, 14.0, 0.02, 0.3
+#: At most so many labelled rows are learnt from (by the hash of their ids).
+EXAMPLES = 20_000
+#: A term whose log-likelihood ratio is under LEAST_G2 weighs nothing.
+NEIGHBOURS, BLOCK, LEAST_G2, THRESHOLD = 15, 64, 14.0, 0.3
 KEYS = 6
 _TRAILING = np.zeros(256, bool)
 _TRAILING[list(b".,!?;:'\")")] = True
@@ -157,18 +157,18 @@ class BlockMaxIndex:
 def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the least-squares nondecreasing fit of labels to votes."""
     x, at = np.unique(votes, return_inverse=True)
+    level = lambda s, n: (s + 0.01) / (n + 0.02)  # noqa: E731  never quite 0 or 1
     blocks: list[list[float]] = []  # sum, weight, first x, last x
     for v, s, n in zip(x, np.bincount(at, labels), np.bincount(at), strict=True):
         blocks.append([s, n, v, v])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+        while len(blocks) > 1 and level(*blocks[-2][:2]) >= level(*blocks[-1][:2]):
             s, n, _, last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2], last]
-    level = [(s + 0.01) / (n + 0.02) if n > 1 else s / n * 0.98 + 0.01 for s, n, _, _ in blocks]
-    return np.array([b[k] for b in blocks for k in (2, 3)]), np.repeat(level, 2)
+    return np.array([b[k] for b in blocks for k in (2, 3)]), np.repeat([level(*b[:2]) for b in blocks], 2)
 
 
 class Model:
-    """What scoring needs; its size is bounded by EXAMPLES and TERMS."""
+    """What scoring needs; its size is bounded by EXAMPLES."""
 
     def __init__(self, index: BlockMaxIndex | None, bare: float, knots: tuple[np.ndarray, np.ndarray]):
         self.index, self.bare, self.knots = index, bare, knots
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     # near copies are one piece of evidence; EXAMPLES rows at most pass through the driver
     keys = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text").mapInArrow(_copy_keys, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, keys array<long>").collect()
     lone = spark.createDataFrame([(i,) for i in dict.fromkeys(_thinned(keys))], "doc_id long")
-    chosen = texts.join(F.broadcast(sample.join(F.broadcast(lone), "doc_id")), "doc_id").dropDuplicates(["doc_id"]).select("text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half"))
+    chosen = texts.join(F.broadcast(sample.join(F.broadcast(lone), "doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half"))
     chosen = scratch.write(chosen, "chosen")
     total = chosen.agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
     by_half = lambda h, x: F.sum(F.when(F.col("half") == h, F.col(x)).otherwise(0)).alias(f"{x}_{h}")
@@ -204,8 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         # by chance alone a term seldom leans to the label in both halves of the examples
         told = lambda h: F.col(f"n1_{h}") * (n - p) > 3 * F.col(f"n0_{h}") * p
         g2 = 2 * (part(F.col("n1"), p / n) + part(F.col("n0"), 1 - p / n))
-        top = counts.where(told(0) & told(1) & (F.col("n1") / p > F.col("n0") / (n - p))).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(TERMS).collect()
-        kept = np.sort(np.array([r.term for r in top if r.g2 >= SHARE_G2 * top[0].g2], np.int64).view(np.uint64))
+        # terms of EXAMPLES documents at most
+        telling = counts.where(told(0) & told(1) & (F.col("n1") / p > F.col("n0") / (n - p))).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).select("term").collect()
+        kept = np.sort(np.array([r.term for r in telling], np.int64).view(np.uint64))
     kind = texts.schema["doc_id"].dataType.simpleString()
     vectors = scratch.write(texts.mapInArrow(_vectors(kept), f"doc_id {kind}, terms array<int>, counts array<int>"), "vectors")
     if not len(kept):
@@ -215,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     rows = vectors.count()
     for r in frequency:
         idf[r.t] = np.log(1 + rows / r["count"])
-    got = vectors.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    got = vectors.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("terms", "counts", "label")).alias("x")).select("doc_id", "x.*")
     bare = got.where(F.size("terms") == 0).agg(F.sum("label").alias("p"), F.count("*").alias("n")).first()
     bare = (float(bare.p or 0) + 0.01) / (bare.n + 1)
     found = sorted(got.where(F.size("terms") > 0).collect(), key=lambda r: r.doc_id)  # EXAMPLES rows at most
@@ -265,7 +266,8 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     Null and empty texts, and texts without a telling term, get the rate of label 1 among such examples; without
     labels of both kinds every score is the rate itself (0 for none). A null id is scored and isn't held out. Repeated
-    rows get equal scores; ties among examples go to the first by terms and id. Other columns aren't used.
+    rows get equal scores; an id with several texts is an example by the least of them; ties among examples go to the
+    first by terms and id. Other columns aren't used.
     """
     model, vectors = fit(docs, labels, label_col, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -276,8 +278,5 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD, **more) -> DataFrame:
     """The rows that score under the threshold, all columns as they are; rows with a null id stay."""
-    from tessera.runtime import broadcast_if_small
-
-    bad = score(docs, labels, id_col=id_col, threshold=threshold, **more).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("__bad")).distinct()
-    bad = Scratch(docs.sparkSession, "toxicity").write(bad, "rejected")
-    return docs.join(broadcast_if_small(bad, 1_000_000), docs[id_col] == F.col("__bad"), "left_anti")
+    bad = score(docs, labels, id_col=id_col, threshold=threshold, **more).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
+    return without(docs, bad, id_col, Scratch(docs.sparkSession, "toxicity"))

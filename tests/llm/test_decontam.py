@@ -45,7 +45,7 @@ def tables(spark):
 def test_against_counts(tables, broadcast, monkeypatch):
     docs, items, d, b = tables
     if not broadcast:
-        monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", -1)
     want = brute(docs, items)
     assert {(r.doc_id, r.item_id) for r in decontam.search(d, b).collect()} == want and len(want) >= 10
     kept = decontam.drop_contaminated(d, b)

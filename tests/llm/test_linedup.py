@@ -48,8 +48,8 @@ def rows():
 def test_against_all_pairs(spark, rows, small, monkeypatch):
     if small:
         monkeypatch.setattr(linedup, "GROUP", 8)
-        monkeypatch.setattr(linedup, "BROADCAST_ROWS", 0)
-        monkeypatch.setattr(linedup, "BROADCAST_LINES", 0)
+        monkeypatch.setattr(linedup, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(linedup, "BROADCAST_BYTES", 0)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, lines string, same int")
     out = linedup.dedup_lines(docs)
     assert out.columns == docs.columns

@@ -53,7 +53,7 @@ def test_against_all_pairs(spark, rows, width, small, monkeypatch):
     if small:
         monkeypatch.setattr(neardup, "GROUP", 16)
         monkeypatch.setattr(neardup, "BUCKET", 8)
-        monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(neardup, "BROADCAST_BYTES", -1)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, component string, n int")
     got = neardup.near_duplicates(docs, width=width).collect()
     want = brute(rows, width)

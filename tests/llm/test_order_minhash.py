@@ -1,5 +1,6 @@
 """Order MinHash: the edited texts exactly, the sketch against a direct form, and likeness by edits."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -51,6 +52,47 @@ def test_occurrences_and_order_count(spark):
     assert max(sizes.values()) <= om.SAMPLINGS and re.fullmatch("([0-9A-F]{10})*", df.select(om.text_of(F.col("s"))).first()[0])
 
 
+def direct(text, xx):
+    """The sketch by its definition: numbered k-mers, the two smallest of each sampling in text order, hashed."""
+    w = re.split(r"[ \t\n\x0b\x0c\r]+", text.strip(" \t\n\x0b\x0c\r"))
+    w = [] if w == [""] else w
+    kmers = [tuple(w[i : i + 2]) for i in range(max(len(w) - 1, 1))] if w else []
+    seen, best = {}, {}
+    for place, kmer in enumerate(kmers):
+        base = xx[kmer] & om._RANK
+        n = seen[base] = seen.get(base, -1) + 1
+        h = xx[base, n] & om._RANK
+        best.setdefault(h >> (om._SAMPLING - om._PLACE), []).append((h, place))
+    out = []
+    for sampling, found in sorted(best.items()):
+        chosen = [h for h, _ in sorted(sorted(found)[:2], key=lambda x: x[1])]
+        out.append((sampling, tuple(chosen)))
+    return out
+
+
+def test_sketch_against_a_direct_form(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(n)}" for _ in range(m)) for n, m in ((3, 40), (500, 200), (2, 3), (9, 1), (40, 1500))] + ["", "a a a a", " one\ttwo\nthree "]
+    kmers = sorted({k for t in texts for w in [re.split(r"\s+", t.strip())] for i in range(max(len(w) - 1, 1)) if (k := tuple(w[i : i + 2])) != ("",)})
+    xx = {tuple(r.k): r.h for r in spark.createDataFrame([(list(k),) for k in kmers], "k array<string>").select("k", F.xxhash64("k").alias("h")).collect()}
+    longs = [(xx[k] & om._RANK, n) for k in kmers for n in range(800)]
+    xx |= {(r.a, r.n): r.h for r in spark.createDataFrame(longs, "a long, n int").select("a", "n", F.xxhash64("a", "n").alias("h")).collect()}
+    got = om.with_sketch(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "s").orderBy("i").collect()
+    tuples = sorted({c for t in texts for _, c in direct(t, xx)})
+    hashed = {tuple(r.c): r.h for r in spark.createDataFrame([(list(c),) for c in tuples], "c array<long>").select("c", F.when(F.size("c") == 1, F.xxhash64(F.col("c")[0])).otherwise(F.xxhash64(F.col("c")[0], F.get("c", F.lit(1)))).alias("h")).collect()}
+    for r, t in zip(got, texts, strict=True):
+        assert r.s == [(s << 32) + (hashed[c] & 0xFFFFFFFF) for s, c in direct(t, xx)]
+
+
+def test_many_ranges_and_ids_of_another_kind(spark):
+    cuts = sorted(random.Random(1).sample(range(-(10**15), 10**15), 3000))
+    keys = [*cuts[::7], *[c + 1 for c in cuts[::11]], *[c - 1 for c in cuts[::13]], -(10**17), 10**17, None]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", om._range_of(F.col("k"), cuts).alias("b")).collect()
+    assert all(r.b == (-1 if r.k is None else bisect.bisect_right(cuts, r.k)) for r in got)
+    with pytest.raises(TypeError, match="whole numbers"):
+        om.fingerprints(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_other_sizes_of_picks(spark):
     df = spark.createDataFrame([("a b c d e f g h",), ("",), ("x",)], "t string")
     assert [r[0] > 0 for r in om.with_sketch(df, "t", "s", picked=3).select(F.size("s")).collect()] == [True, False, True]

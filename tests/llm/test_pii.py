@@ -1,6 +1,7 @@
 """PII: base spans against Python's re on odd texts, and telling terms on a small corpus."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -85,3 +86,44 @@ def test_terms_of_whole_documents(spark):
     got = {r.doc_id: r.clean_text for r in pii.sanitise(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert all("Quillfeather" not in got[i] and "[CARD]" in got[i] and own(i) in got[i] for i in range(6))
     assert got[100] == rows[6][1] and "thimblerig" in got[700] and "lumpfish" in got[600]
+
+
+def test_many_spans_in_one_long_text(spark):
+    rng = random.Random(4)
+    parts = [rng.choice([f"a{i}@b{i}.org", f"10.{i % 256}.3.{i % 300}", f"+49 30 {1000000 + i}", "4111 1111 1111 1111", "words, between 𝔘 them"]) for i in range(6000)]
+    text = "; ".join(parts)
+    row = pii.digest(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    want = brute(text)
+    assert row.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in want) and len(want) > 4000
+
+
+def test_scores_against_a_direct_count(spark):
+    """Every term that a direct count over documents finds telling is marked, and no other."""
+    rng = random.Random(11)
+    common = [f"com{chr(97 + i)}" for i in range(20)]
+    values = [f"u{k}@mail.example" for k in range(6)]
+    rows = []
+    for i in range(240):
+        words = rng.sample(common, 6) + [f"own{chr(97 + i // 26)}{chr(97 + i % 26)}x{chr(97 + k)}" for k in range(12)]
+        if i % 8 < 6 and i < 80:
+            k = i % 6
+            words += [values[k]] + [f"tell{'abcdef'[k]}"] * (rng.random() < 0.9) + [f"half{'abcdef'[k]}"] * (rng.random() < 0.5)
+        if rng.random() < 0.02:
+            words.append("halfa")
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {s.value: s.kind for r in found for s in r.extra}
+    terms = {i: {t for t in re.sub(PLAIN["email"], " ", text).lower().split() if re.search("[a-z]", t)} for i, text in rows}
+    holders = {v: {i for i, t in rows if v in t.split()} for v in values}
+    pairs = {(t, v) for v, ids in holders.items() for i in ids for t in terms[i] if len(ids) > 1}
+    n, want = len(rows), {}
+    fact = lambda x: math.lgamma(x + 1)
+    for t, v in pairs:
+        n_t, n_e, both = sum(t in x for x in terms.values()), len(holders[v]), sum(t in terms[i] for i in holders[v])
+        k, a, b = both - 1, n_e - 1, n_t - 1
+        log_chance = fact(a) + fact(b) + fact(n - 1 - k) - fact(k) - fact(a - k) - fact(b - k) - fact(n - 1)
+        disclosure = math.log(both * n / (n_t * n_e)) / math.log(n / n_e)
+        if log_chance <= math.log(pii.CHANCE / len(pairs)) and disclosure >= pii.GENERALISE:
+            want[t] = max(want.get(t, 0), disclosure)
+    assert got == {t: "term_removed" if d >= pii.REMOVE else "term_general" for t, d in want.items()} and len(got) >= 6

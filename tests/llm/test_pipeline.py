@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from tests.llm.test_decontam import brute as contaminated
 from tests.llm.test_linedup import brute as lines_kept
@@ -33,7 +35,9 @@ def test_stages(spark, tmp_path):
         held[name] = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr) if name != "packing" else docs
     assert {i for i, _ in held["toxicity"]} == {i for i, _ in rows if i is None or i < 500 or i >= 600}
     want = lines_kept(held["toxicity"])
-    assert held["line_dedup"] == sorted(((i, want.get(i, t)) for i, t in held["toxicity"]), key=repr)
+    emptied = {i for i, t in held["toxicity"] if t and t.strip() and i in want and not want[i].strip()}
+    assert {300, 301} <= emptied | {i for i, t in held["line_dedup"] if t and "extra" in t} and 601 not in emptied
+    assert held["line_dedup"] == sorted(((i, want.get(i, t)) for i, t in held["toxicity"] if i not in emptied), key=repr)
     assert sum(passage in (t or "") for _, t in held["line_dedup"]) == 1
     root = groups(held["line_dedup"], 5)
     assert held["near_dedup"] == [(i, t) for i, t in held["line_dedup"] if i is None or root[i] == i]
@@ -41,4 +45,9 @@ def test_stages(spark, tmp_path):
     assert leaks == {400, 401, 402, 403} and held["decontamination"] == [(i, t) for i, t in held["near_dedup"] if i not in leaks]
     packed = held["packing"]
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {i for i, _ in held["decontamination"]}
-    assert sorted(map(tuple, cp.run(spark, str(tmp_path)).select("doc_id", "doc_tokens", "length").collect()), key=repr) and cp.run(spark, str(tmp_path)).agg({"length": "sum"}).first()[0] == packed.agg({"length": "sum"}).first()[0]
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    whole = cp.run(spark, str(tmp_path))
+    rebuilt = lambda df: {d: sorted((r.start, r.length, r.doc_tokens) for r in df.where(F.col("doc_id").eqNullSafe(d)).select(columns).collect()) for d in (0, 7, 200, None)}
+    assert rebuilt(whole).keys() == rebuilt(packed).keys() and all(sum(n for _, n, _ in v) == v[0][2] for v in rebuilt(whole).values())
+    totals = lambda df: sorted(map(tuple, df.groupBy("doc_id").agg(F.sum("length"), F.max("doc_tokens")).collect()), key=repr)
+    assert totals(whole) == totals(packed) and len(totals(whole)) == len(held["decontamination"])

@@ -37,5 +37,23 @@ def test_round_trip(spark, tmp_path):
     assert pieces == want
 
 
+def test_another_cluster_writes_the_same(spark, tmp_path):
+    rows = [(i, f"text {i} " * (i % 50)) for i in range(120)] + [(5, "another text of five"), (None, "lost"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    for parts in (3, 11):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        manifest = sorted(map(tuple, order.order(docs.repartition(parts, "text"), f"file://{tmp_path}/{parts}", length=32, per_shard=8).collect()))
+        seen.append((manifest, order.read_slots(f"file://{tmp_path}/{parts}", 0, len(manifest), 32, 8).tolist()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0] == seen[1] and len(seen[0][0]) > 50
+    assert sum(r[4] < 32 for r in seen[0][0]) <= 1  # only the stream's end is padded
+
+
+def test_ids_of_another_kind_are_refused(spark, tmp_path):
+    with pytest.raises(TypeError, match="whole numbers"):
+        order.order(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_empty(spark, tmp_path):
     assert order.order(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/none").count() == 0
