@@ -70,6 +70,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 _OPEN: list[Scratch] = []
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class Scratch:
@@ -82,6 +83,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.held = spark, f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}", {}
         _OPEN.append(self)
+        if spark.conf.get(_BATCH_BYTES) == "67108864b":  # the default; a batch stands in memory four times over, in both processes
+            spark.conf.set(_BATCH_BYTES, "8m")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:6]}"
