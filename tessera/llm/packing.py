@@ -73,6 +73,7 @@ def curve_keys(ids: list[bytes]) -> np.ndarray:
 
 def _tokenised(path: str | None, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.trim()
         encoder = tokens.encoder(path, cache)
         end = np.array([tokens.SEPARATOR], "<u2").tobytes()
         for batch in batches:

@@ -46,9 +46,14 @@ def release() -> None:
     """Gives memory that this worker no longer uses back to the system: other work's caches, and freed blocks."""
     if (tokens := sys.modules.get("tessera.llm.tokens")) is not None:
         tokens.forget()
+    trim()
+
+
+def trim() -> None:
+    """Gives freed blocks back to the system."""
     pa.default_memory_pool().release_unused()
-    if (trim := getattr(_LIBC, "malloc_trim", None)) is not None:
-        trim(0)
+    if (give := getattr(_LIBC, "malloc_trim", None)) is not None:
+        give(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

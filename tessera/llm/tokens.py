@@ -12,6 +12,8 @@ import re
 import numpy as np
 import public_tokenizers
 
+from tessera.llm.textbytes import trim  # noqa: F401  for tasks that tokenise after other work
+
 TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = 2
 CACHE = 800_000
