@@ -48,12 +48,14 @@ class Encoder:
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.cache, self.limit = {"": b""}, cache
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Words of letters go through the tokenizer many at a time: each is one piece and has one closing id."""
         plain = [w for w in words if w.isalpha() and w.islower() and _latin(w)]
+        plain.sort(key=str.isascii)  # runs of ASCII words need no translation
         for at in range(0, len(plain), _TOGETHER * 50):
             part = plain[at : at + _TOGETHER * 50]
-            lines = [" ".join(part[k : k + _TOGETHER]).translate(self.as_bytes) for k in range(0, len(part), _TOGETHER)]
+            lines = [" ".join(part[k : k + _TOGETHER]) for k in range(0, len(part), _TOGETHER)]
+            lines = [x if x.isascii() else x.translate(self.as_bytes) for x in lines]
             ids = [np.array(x.ids, "<u2") for x in self.light.encode_batch_fast(lines, add_special_tokens=False)]
             ids = np.concatenate(ids)
             ends = (2 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
@@ -61,7 +63,7 @@ class Encoder:
                 raise ValueError("the tokenizer doesn't close each word once")
             flat = ids.tobytes()
             self.cache.update(zip(part, [flat[a:b] for a, b in zip([0, *ends], ends)], strict=True))
-        rest = list(words.difference(plain))
+        rest = list(set(words).difference(plain))
         for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.cache[word] = np.array(got.ids, "<u2").tobytes()
 
@@ -79,7 +81,8 @@ class Encoder:
         pieces = [self._pieces(t) for t in texts]
         if len(self.cache) > self.limit:
             self.cache = {"": b""}
-        if new := set().union(*pieces) - self.cache.keys():
+        cache = self.cache
+        if new := [w for w in set().union(*pieces) if w not in cache]:  # a difference of sets would walk the whole cache
             self._learn(new)
         get = self.cache.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
