@@ -23,6 +23,7 @@ from tessera.llm.names import fresh, need_whole_ids
 from tessera.runtime import Scratch, broadcast_if_small
 
 PERCENT = 80
+_BLANKS = " \t\n\x0b\x0c\r"
 CELLS, _SLABS = 1 << 18, 32
 BROADCAST_BYTES = 32 << 20
 #: Longer lists are compared in squares of so many; a loose group of more sets is dealt into blocks.
@@ -298,8 +299,8 @@ def _matched(percent: int):
     return run
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, same (a hash of the text) and lines: the numbers (from 0) of the lines to remove, for texts that have any.
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, same (a hash of the text) and lines: the numbers (from 0) of the lines with words that stay, for texts that have any.
 
     A line, between line feeds, goes if a line earlier by (doc_id, same, line) has 100 * intersection >= ``percent`` *
     union of their sets of words (lower-cased in A-Z only). Lines without words never match. Rows with equal ids and
@@ -315,6 +316,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = held.where("counts is null").drop("counts")
     classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "same", "line")).alias("r")).select("k1", "k2", "r.*")
     classes = scratch.write(classes, "classes")
+    scratch.drop("lines")
     firsts = scratch.write(classes.groupBy(F.col("doc_id").alias("_doc"), F.col("same").alias("_same")).agg(F.collect_list("line").alias("lines")), "firsts")
     rows = texts.join(broadcast_if_small(firsts, BROADCAST_BYTES), (F.col("doc_id") == F.col("_doc")) & (F.col("same") == F.col("_same"))).select("text", "lines")
     # about a quarter of all words is in prefixes; a list of all its words' postings is LIST_BYTES then
@@ -347,11 +349,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         gone = scratch.write(gone.union(matched(own.where("parts > 1").unionByName(rest.drop("_from")))).distinct(), "all_gone")
     scratch.drop("sets")
 
-    kept = classes.select("k1", "k2", F.col("doc_id").alias("_d"), F.col("same").alias("_s"), F.col("line").alias("_l"))
-    kept = kept.join(gone, (F.col("_d") == gone["doc_id"]) & (F.col("_s") == gone["same"]) & (F.col("_l") == gone["line"]), "left_anti")
-    first_places = kept.select(F.col("_d").alias("doc_id"), F.col("_s").alias("same"), F.col("_l").alias("line"))
-    removed = lines.select("doc_id", "same", "line").distinct().join(first_places, ["doc_id", "same", "line"], "left_anti")
-    return removed.groupBy("doc_id", "same").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    kept = classes.select("doc_id", "same", "line").join(gone, ["doc_id", "same", "line"], "left_anti")
+    return kept.groupBy("doc_id", "same").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, counted: bool = False, drop_emptied: bool = False) -> DataFrame:
@@ -360,16 +359,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     With ``counted`` also __n_lines and __n_removed (0 for a null text). A text that loses all its lines is empty;
     with ``drop_emptied`` such a row goes, while texts that were empty before stay.
     """
-    removed = Scratch(docs.sparkSession, "linedup").write(duplicate_lines(docs, id_col, text_col, percent), "removed")
+    kept = Scratch(docs.sparkSession, "linedup").write(kept_lines(docs, id_col, text_col, percent), "kept")
     own = fresh(docs)
-    removed = broadcast_if_small(removed, BROADCAST_BYTES).select(F.col("doc_id").alias(f"{own}_id"), F.col("same").alias(f"{own}_same"), F.col("lines").alias(f"{own}_lines"))
-    joined = docs.join(removed, (docs[id_col].cast("long") == removed[f"{own}_id"]) & (F.xxhash64(docs[text_col].cast("string")) == removed[f"{own}_same"]), "left")
-    gone, parts = removed[f"{own}_lines"], F.split(docs[text_col], "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    kept = broadcast_if_small(kept, BROADCAST_BYTES).select(F.col("doc_id").alias(f"{own}_id"), F.col("same").alias(f"{own}_same"), F.col("lines").alias(f"{own}_lines"))
+    joined = docs.join(kept, (docs[id_col].cast("long") == kept[f"{own}_id"]) & (F.xxhash64(docs[text_col].cast("string")) == kept[f"{own}_same"]), "left")
+    old = docs[text_col]
+    joined = joined.select(*[docs[c] for c in docs.columns], F.split(old, "\n", -1).alias(f"{own}_parts"), kept[f"{own}_lines"].alias(f"{own}_stay"))
+    parts, taken = F.col(f"{own}_parts"), F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
+    blank = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.trim(parts[i], F.lit(_BLANKS)) == "")
+    stay = F.array_sort(F.concat(F.coalesce(F.col(f"{own}_stay"), F.expr("cast(array() as array<int>)")), blank))
+    joined = joined.select(*docs.columns, parts, F.when(taken, stay).alias(f"{own}_stay"))
+    stay = F.col(f"{own}_stay")
+    fewer = taken & (F.size(stay) < F.size(parts))
+    left = F.array_join(F.transform(stay, lambda i: parts[i]), "\n")
     if drop_emptied:
-        joined = joined.where(gone.isNull() | (F.size(gone) < F.size(parts)) & (F.trim(left, F.lit(" \t\n\x0b\x0c\r")) != ""))
-    text = F.when(gone.isNull(), docs[text_col]).otherwise(left)
-    n_lines = F.coalesce(F.when(docs[text_col].isNotNull(), F.size(parts)), F.lit(0)).cast("long")
-    n_removed = F.coalesce(F.when(gone.isNotNull(), F.size(gone)), F.lit(0)).cast("long")
+        joined = joined.where(~F.coalesce(fewer, F.lit(False)) | (F.trim(left, F.lit(_BLANKS)) != ""))
+    text = F.when(fewer, left).otherwise(F.col(text_col))
+    n_lines = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(parts)), F.lit(0)).cast("long")
+    n_removed = F.when(fewer, F.size(parts) - F.size(stay)).otherwise(F.lit(0)).cast("long")
     more = [n_lines.alias("__n_lines"), n_removed.alias("__n_removed")] if counted else []
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], *more)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *more)
