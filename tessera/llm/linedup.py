@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm import textbytes
 from tessera.llm.components import components
@@ -363,19 +363,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = fresh(docs)
     kept = broadcast_if_small(kept, BROADCAST_BYTES).select(F.col("doc_id").alias(f"{own}_id"), F.col("same").alias(f"{own}_same"), F.col("lines").alias(f"{own}_lines"))
     joined = docs.join(kept, (docs[id_col].cast("long") == kept[f"{own}_id"]) & (F.xxhash64(docs[text_col].cast("string")) == kept[f"{own}_same"]), "left")
-    old = docs[text_col]
-    joined = joined.select(*[docs[c] for c in docs.columns], F.split(old, "\n", -1).alias(f"{own}_parts"), kept[f"{own}_lines"].alias(f"{own}_stay"))
-    parts, taken = F.col(f"{own}_parts"), F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
-    blank = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.trim(parts[i], F.lit(_BLANKS)) == "")
-    stay = F.array_sort(F.concat(F.coalesce(F.col(f"{own}_stay"), F.expr("cast(array() as array<int>)")), blank))
-    joined = joined.select(*docs.columns, parts, F.when(taken, stay).alias(f"{own}_stay"))
-    stay = F.col(f"{own}_stay")
-    fewer = taken & (F.size(stay) < F.size(parts))
-    left = F.array_join(F.transform(stay, lambda i: parts[i]), "\n")
+    stay, taken = kept[f"{own}_lines"], docs[id_col].isNotNull() & docs[text_col].isNotNull()
+    # generated, so that no later expression makes it again
+    made = F.explode(F.array(_rest(F.split(docs[text_col], "\n", -1), stay, taken))).alias(own)
+    joined = joined.select(*[docs[c] for c in docs.columns], made)
+    left = F.col(f"{own}.left")
     if drop_emptied:
-        joined = joined.where(~F.coalesce(fewer, F.lit(False)) | (F.trim(left, F.lit(_BLANKS)) != ""))
-    text = F.when(fewer, left).otherwise(F.col(text_col))
-    n_lines = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(parts)), F.lit(0)).cast("long")
-    n_removed = F.when(fewer, F.size(parts) - F.size(stay)).otherwise(F.lit(0)).cast("long")
-    more = [n_lines.alias("__n_lines"), n_removed.alias("__n_removed")] if counted else []
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *more)
+        joined = joined.where(left.isNull() | (F.trim(left, F.lit(_BLANKS)) != ""))
+    more = [F.coalesce(F.col(f"{own}.{c}"), F.lit(0)).cast("long").alias(f"__{c}") for c in ("n_lines", "n_removed")] if counted else []
+    return joined.select(*[F.coalesce(left, text_col).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *more)
+
+
+def _rest(parts: Column, stay: Column, taken: Column) -> Column:
+    """left (null if no line goes), n_lines and n_removed; each array is made once."""
+    let = lambda value, body: F.transform(F.array(value), lambda x: body(x))[0]
+
+    def counted(p: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(p) - 1)
+        blank = F.filter(every, lambda i: F.trim(p[i], F.lit(_BLANKS)) == "")
+        kept = F.array_sort(F.concat(F.coalesce(stay, F.expr("cast(array() as array<int>)")), blank))
+        return let(F.when(taken, kept).otherwise(every), lambda k: F.struct(F.when(F.size(k) < F.size(p), F.array_join(F.transform(k, lambda i: p[i]), "\n")).alias("left"), F.size(p).alias("n_lines"), (F.size(p) - F.size(k)).alias("n_removed")))
+
+    return let(parts, lambda p: F.when(p.isNotNull(), counted(p)))

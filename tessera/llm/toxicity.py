@@ -272,7 +272,9 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     model, vectors = fit(docs, labels, label_col, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = vectors.schema["doc_id"].dataType.simpleString()
-    out = vectors.mapInArrow(_scored(shared), f"doc_id {kind}, score double, evidence array<long>")
+    # the table of vectors has few files; scoring takes its time by row
+    dealt = vectors.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = dealt.mapInArrow(_scored(shared), f"doc_id {kind}, score double, evidence array<long>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
