@@ -142,3 +142,52 @@ def diffuse(graph: DataFrame, start: DataFrame, alpha: float = 0.9, steps: int =
         cur = cur.join(graph, cur["node"] == graph["src"]).groupBy("query", F.col("dst").alias("node")).agg((alpha * F.sum(F.col("x") * F.col("w"))).alias("x"))
         total = total.union(cur)
     return total.groupBy("query", "node").agg(F.sum("x").alias("x"))
+
+
+def retrieval_scores(p: DataFrame, users: DataFrame, days: int = 30, n_seeds: int = 20, least: float = 30.0) -> DataFrame:
+    """user_id, item_id, co, pop over all items, no pool: how often listeners of the user's seeds played the item, and its listeners.
+
+    One item-item table of counts, cut to seeds on one side, serves all users.
+    """
+    r = incidence(p, days, least).select("user_id", "item_id", "age")
+    s = seeds(r, users, n_seeds).select("user_id", "item_id")
+    a = r.join(s.select("item_id").distinct(), "item_id", "left_semi").select("user_id", F.col("item_id").alias("i"))
+    co = a.join(r.select("user_id", F.col("item_id").alias("j")), "user_id").groupBy("i", "j").agg(F.count("*").alias("co"))
+    pop = r.groupBy(F.col("item_id").alias("j")).agg(F.count("*").alias("pop"))
+    g = s.join(co, s["item_id"] == co["i"]).groupBy("user_id", "j").agg(F.sum("co").alias("co"))
+    return g.join(pop, "j").select("user_id", F.col("j").alias("item_id"), "co", "pop")
+
+
+def retrieve(scores: DataFrame, n: int, damp: float = 0.5) -> DataFrame:
+    """The n best items of each user, damped on the item's side only."""
+    from tessera.operators.ranking import top_k
+
+    return top_k(scores.select("user_id", "item_id", (F.col("co") / F.pow(F.greatest("pop", F.lit(1)), F.lit(damp))).alias("s")), n)
+
+
+def retrieval_recall(found: DataFrame, popular: DataFrame, new: DataFrame, n: int) -> DataFrame:
+    """Shares of the value of ``new`` that n popular items, n items of each user, and half of both cover. popular: item_id, rank from 1."""
+    j = new.join(popular.select("item_id", F.col("rank").alias("g")), "item_id", "left").join(found.select("user_id", "item_id", F.col("rank").alias("u")), ["user_id", "item_id"], "left")
+    share = lambda c: F.sum(F.when(c, F.col("frac")).otherwise(0.0)) / F.sum("frac")
+    half = n // 2
+    return j.agg(share(F.col("g") <= n).alias("popular"), share(F.col("u") <= n).alias("per_user"), share((F.col("g") <= half) | (F.col("u") <= half)).alias("mixed"))
+
+
+def retrieval_sweep(scores: DataFrame, pool: DataFrame, history: DataFrame, truth: DataFrame, damps: list[float], slots: int) -> DataFrame:
+    """Value found in the slots by each damping exponent, new items of the pool only: one table of counts, joined to the exponents."""
+    spark = scores.sparkSession
+    c = scores.join(pool.select("item_id"), "item_id", "left_semi").join(history.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    c = c.crossJoin(F.broadcast(spark.createDataFrame([(x,) for x in damps], "damp double"))).withColumn("s", F.col("co") / F.pow(F.greatest("pop", F.lit(1)), F.col("damp")))
+    w = Window.partitionBy("damp", "user_id").orderBy(F.desc(F.round("s", 9)), "item_id")
+    best = c.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= slots)
+    return best.join(truth, ["user_id", "item_id"], "left").groupBy("damp").agg(F.count("frac").alias("hits"), F.coalesce(F.sum("frac"), F.lit(0.0)).alias("value"))
+
+
+def connectivity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Components of an undirected graph: how many, the largest, and single nodes. edges: src, dst; nodes: node."""
+    from tessera.operators.components import components
+    from tessera.runtime import Scratch
+
+    found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), Scratch(edges.sparkSession, "connectivity"))
+    sizes = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("components"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("single"))

@@ -6,14 +6,18 @@ Leaves have entity, ord (document order), path (array of strings) and value (the
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.functions import udtf
 
 SKIPPED = "_comment"
 YEAR = r"^(19|20)\d{2}$"
-#: Words that carry no meaning in a question.
-STOP_WORDS = ["a", "an", "and", "are", "at", "by", "did", "do", "does", "for", "from", "had", "has", "have", "how", "in", "is", "it", "many", "much", "of", "on", "s", "the", "to", "was", "were", "what", "when", "where", "which", "who", "with"]
+NUMBER = r"^\s*\.?[0-9][0-9,]*(\.[0-9]*)?\s*$|^\s*-[0-9.]+\s*$"
+#: Words that carry no meaning in a question, and what tells of the league's own tables.
+STOP_WORDS = ["the", "a", "an", "of", "in", "for", "is", "was", "what", "how", "many", "did", "do", "does", "are", "were", "has", "have", "had", "with", "and", "to", "by", "at", "on", "s", "their", "his", "her", "number"]
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+STANDINGS = ["games back", "wild card", "elimination", "standings", "streak", "winning percentage", "division rank", "last 10"]
 
 
 def flatten_document(raw: str):
@@ -32,18 +36,17 @@ def flatten_document(raw: str):
             n += 1
 
 
-@udtf(returnType="ord int, path array<string>, value string")
-class FlattenJson:
-    def eval(self, raw: str):
-        yield from flatten_document(raw)
+def _flattened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(e, n, path, value) for e, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, path, value in flatten_document(raw)]
+        if rows:
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.list_(pa.string()), pa.string()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["entity", "ord", "path", "value"])
 
 
 def flatten(docs: DataFrame) -> DataFrame:
-    """docs: entity, raw."""
-    spark = docs.sparkSession
-    spark.udtf.register("tessera_flatten_json", FlattenJson)
-    docs.createOrReplaceTempView("_tessera_json")
-    return spark.sql("SELECT entity, f.ord, f.path, f.value FROM _tessera_json, LATERAL tessera_flatten_json(raw) f")
+    """docs: entity, raw. A row for each leaf."""
+    return docs.select("entity", "raw").mapInArrow(_flattened, f"entity {docs.schema['entity'].dataType.simpleString()}, ord int, path array<string>, value string")
 
 
 def slug(text: Column) -> Column:
@@ -51,7 +54,7 @@ def slug(text: Column) -> Column:
 
 
 def tokens(question: Column) -> Column:
-    return F.filter(F.split(F.lower(question), "[^a-z0-9]+"), lambda t: (t != "") & ~t.isin(STOP_WORDS))
+    return F.filter(F.split(F.lower(question), r"[^a-z0-9_\-]+"), lambda t: (t != "") & ~t.isin(STOP_WORDS))
 
 
 def expand_synonyms(words: Column, synonyms: dict[str, list[str]]) -> Column:
@@ -62,8 +65,11 @@ def expand_synonyms(words: Column, synonyms: dict[str, list[str]]) -> Column:
     return F.array_distinct(F.concat(words, F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), F.expr("cast(array() as array<string>)"))))))
 
 
-def base_score(path: Column, words: Column, raw: Column) -> Column:
-    """Deeper segments weigh more; exact words 2, parts of words 0.8; years in both must agree."""
+def base_score(path: Column, words: Column, raw: Column, strict: bool = False) -> Column:
+    """Deeper segments weigh more; exact words 2, parts of words 0.8; years and months in both must agree.
+
+    With ``strict`` a path without the year, or the month, that is asked for loses too.
+    """
     n = F.size(path)
 
     def segment(p: Column, i: Column) -> Column:
@@ -75,11 +81,15 @@ def base_score(path: Column, words: Column, raw: Column) -> Column:
     total = F.aggregate(F.transform(path, segment), F.lit(0.0), lambda s, x: s + x)
     years = lambda a: F.filter(a, lambda t: F.regexp_like(t, F.lit(YEAR)))
     asked, held = years(raw), years(path)
-    year = F.when((F.size(asked) == 0) | (F.size(held) == 0), 0.0).when(F.arrays_overlap(asked, held), 6.0).otherwise(-6.0)
-    return total + year
+    year = F.when(F.size(asked) == 0, 0.0).when(F.size(held) == 0, -4.0 if strict else 0.0).when(F.arrays_overlap(asked, held), 6.0).otherwise(-6.0)
+    months, parts = F.array(*[F.lit(m) for m in MONTHS]), F.transform(path, lambda p: F.lower(p))
+    wanted = F.array_intersect(raw, months)
+    astray = F.arrays_overlap(parts, months) | F.array_contains(parts, "month")
+    month = F.when(F.size(wanted) == 0, 0.0).when(F.arrays_overlap(parts, wanted), 6.0).when(astray | F.lit(strict), -6.0).otherwise(0.0)
+    return total + year + month
 
 
-def score(leaves: DataFrame, questions: DataFrame, rules: list[tuple[Column, float]] | None = None, synonyms: dict | None = None) -> DataFrame:
+def score(leaves: DataFrame, questions: DataFrame, rules: list[tuple[Column, float]] | None = None, synonyms: dict | None = None, strict: bool = False) -> DataFrame:
     """Every leaf of a question's entity with its score; rules are (predicate, bonus) columns that add up.
 
     questions: qid, entity, question.
@@ -87,7 +97,7 @@ def score(leaves: DataFrame, questions: DataFrame, rules: list[tuple[Column, flo
     raw = tokens(F.col("question"))
     q = questions.select("qid", "entity", "question", raw.alias("raw"), expand_synonyms(raw, synonyms or {}).alias("words"))
     j = leaves.join(q, "entity")
-    total = base_score(F.col("path"), F.col("words"), F.col("raw"))
+    total = base_score(F.col("path"), F.col("words"), F.col("raw"), strict)
     for predicate, bonus in rules or []:
         total = total + F.when(predicate, F.lit(float(bonus))).otherwise(0.0)
     return j.withColumn("score", total)
@@ -124,30 +134,113 @@ def margin(collapsed: DataFrame) -> DataFrame:
     return r.where("_r = 1").select("qid", "value", (F.col("score") - F.coalesce("_next", F.lit(0.0))).alias("margin"))
 
 
-def sanitise(candidates: DataFrame) -> DataFrame:
-    """Drop empty values and identifiers, unless a question has nothing else."""
+def sanitise(candidates: DataFrame, bad_leaf: str | None = None, numeric_question: str | None = None) -> DataFrame:
+    """Drop empty values, identifiers, bad leaves and words where a number is asked for, unless a question has nothing else."""
     good = (F.trim("value") != "") & ~F.regexp_like("value", F.lit("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"))
+    if bad_leaf:
+        good &= ~F.regexp_like(F.lower("path"), F.lit(bad_leaf))
+    if numeric_question:
+        good &= ~F.regexp_like("question", F.lit(numeric_question)) | F.regexp_like("value", F.lit(NUMBER))
+    good = F.coalesce(good, F.lit(False))
     w = Window.partitionBy("qid")
     return candidates.withColumn("_any", F.max(good.cast("int")).over(w)).where(good | (F.col("_any") == 0)).drop("_any")
 
 
 def aliases(teams: DataFrame) -> DataFrame:
-    """alias to key: "market name", name, abbreviation, key; the first writer by kind and key wins. teams: key, market, name, abbr."""
-    forms = [F.concat_ws(" ", "market", "name"), F.col("name"), F.col("abbr"), F.col("key")]
-    every = teams.select("key", F.posexplode(F.array(*[F.lower(f) for f in forms])).alias("kind", "alias")).where("alias != ''")
-    return every.groupBy("alias").agg(F.min(F.struct("kind", "key")).alias("b")).select("alias", F.col("b.key").alias("key"))
+    """alias to key: "market name", name, abbreviation, key in words; the first team in order, then the first form. teams: ord, key, market, name, abbr."""
+    forms = [F.concat_ws(" ", "market", "name"), F.col("name"), F.col("abbr"), F.translate("key", "_", " ")]
+    every = teams.select("ord", "key", F.posexplode(F.array(*[F.trim(F.lower(f)) for f in forms])).alias("kind", "alias")).where("alias != ''")
+    return every.groupBy("alias").agg(F.min(F.struct("ord", "kind", "key")).alias("b")).select("alias", F.col("b.key").alias("key"))
+
+
+def _asked_words(questions: DataFrame) -> DataFrame:
+    """qid, question in lower case, and each of its words."""
+    lower = F.lower("question")
+    return questions.select("qid", lower.alias("q"), F.explode(F.array_distinct(F.regexp_extract_all(lower, F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
+
+
+def _whole(text: Column) -> Column:
+    """A pattern for a text as whole words."""
+    return F.concat(F.lit(r"\b\Q"), text, F.lit(r"\E\b"))
 
 
 def mentions(questions: DataFrame, table: DataFrame) -> DataFrame:
-    """Aliases found in questions as whole words, the longest at a place; those inside another are dropped."""
-    j = questions.join(F.broadcast(table), F.contains(F.lower("question"), F.col("alias")))
-    at = j.withColumn("at", F.regexp_instr(F.lower("question"), F.concat(F.lit(r"\b\Q"), F.col("alias"), F.lit(r"\E\b")))).where("at > 0").withColumn("end", F.col("at") + F.length("alias"))
+    """Aliases found in questions as whole words, the longest at a place; those inside another are dropped.
+
+    A question meets only the aliases whose first word it holds, by an equi-join: neither side need be small.
+    """
+    first = table.withColumn("word", F.regexp_extract("alias", "[a-z0-9]+", 0))
+    j = _asked_words(questions).join(first, "word")
+    at = j.withColumn("at", F.regexp_instr("q", _whole(F.col("alias")))).where("at > 0").withColumn("end", F.col("at") + F.length("alias"))
     w = Window.partitionBy("qid")
     spans = at.withColumn("_all", F.collect_list(F.struct("at", "end")).over(w))  # a question's own mentions
     inside = F.exists("_all", lambda s: (s["at"] <= F.col("at")) & (s["end"] >= F.col("end")) & ((s["end"] - s["at"]) > (F.col("end") - F.col("at"))))
     return spans.where(~inside).select("qid", "key", "alias", "at")
 
 
+def match_names(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """qid, slug: the longest name a question spells out, else the first whose surname follows a first name of which one is a prefix of the other.
+
+    names: slug, ord. A question meets only the names whose last word it holds.
+    """
+    spelled = F.translate("slug", "_", " ")
+    n = names.select("slug", "ord", spelled.alias("spelled"), F.element_at(F.split(spelled, " "), -1).alias("word"))
+    j = _asked_words(questions).join(n, "word")
+    exact = F.regexp_like("q", _whole(F.col("spelled")))
+    first, last = F.split("slug", "_", 2)[0], F.translate(F.get(F.split("slug", "_", 2), F.lit(1)), "_", " ")
+    j = j.withColumn("_p", F.concat(F.lit(r"\b([a-z\u00c0-\u024f.'-]+)\s+\Q"), last, F.lit(r"\E\b")))
+    said = F.expr("regexp_extract(q, _p, 1)")
+    like = last.isNotNull() & (said != "") & (F.startswith(said, first) | F.startswith(first, said))
+    j = j.withColumn("kind", F.when(exact, 0).when(like, 1)).where("kind is not null")
+    w = Window.partitionBy("qid").orderBy("kind", F.when(F.col("kind") == 0, -F.length("spelled")), "ord")
+    return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("qid", "slug")
+
+
+def plain_words(text: Column) -> Column:
+    """Lower case without signs, single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", ""), " +", " "))
+
+
+def missed_names(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """qid, slug: names of two words or more that a question holds once signs are gone from both."""
+    n = names.select("slug", plain_words(F.translate("slug", "_", " ")).alias("spelled")).where(F.contains("spelled", F.lit(" "))).withColumn("word", F.substring_index("spelled", " ", 1))
+    q = questions.select("qid", plain_words(F.col("question")).alias("q")).withColumn("word", F.explode(F.array_distinct(F.split("q", " "))))
+    return q.join(n, "word").where(F.contains(F.concat(F.lit(" "), F.col("q"), F.lit(" ")), F.concat(F.lit(" "), F.col("spelled"), F.lit(" ")))).select("qid", "slug")
+
+
+def league_route(questions: DataFrame, leaves: DataFrame) -> DataFrame:
+    """qid, ord, path, value: injuries of the player, else standings of the team, where the question is about them. questions: qid, question, player, team."""
+    q = F.lower("question")
+    about = F.array(F.struct(F.lit(0).alias("turn"), F.lit("injuries").alias("part"), F.when(F.contains(q, F.lit("injur")), F.col("player")).alias("who")), F.struct(F.lit(1).alias("turn"), F.lit("standings").alias("part"), F.when(F.regexp_like(q, F.lit("|".join(STANDINGS))), F.col("team")).alias("who")))
+    asks = questions.select("qid", F.explode(about).alias("a")).where("a.who is not null").select("qid", "a.*")
+    lower = F.transform("path", lambda p: F.lower(p))
+    held = leaves.select("ord", "path", "value", F.explode(F.array_distinct(lower)).alias("who"), lower.alias("_l"))
+    found = asks.join(held, "who").where(F.array_contains("_l", F.col("part")))
+    w = Window.partitionBy("qid")
+    return found.withColumn("_t", F.min("turn").over(w)).where("turn = _t").select("qid", "ord", "path", "value")
+
+
+def game_on(leaves: DataFrame, asks: DataFrame) -> DataFrame:
+    """qid, game: the segment of the first ``scheduled`` leaf on the day. asks: qid, entity, day (ISO text)."""
+    game = F.get(F.filter("path", lambda p: F.contains(p, F.lit("matches ago")) | (p == "previous match")), F.lit(0))
+    at = leaves.where(F.element_at("path", -1) == "scheduled").select("entity", "ord", F.substring("value", 1, 10).alias("day"), game.alias("game")).where("game is not null")
+    return asks.join(at, ["entity", "day"]).groupBy("qid").agg(F.min(F.struct("ord", "game")).alias("b")).select("qid", F.col("b.game").alias("game"))
+
+
+def audit(new: DataFrame, old: DataFrame, nothing: str = "no answer") -> DataFrame:
+    """By leaf: answers, answers that changed since the old run, and questions without one. new, old: qid, path, answer."""
+    j = new.join(old.select("qid", F.col("answer").alias("_old")), "qid", "left")
+    leaf = F.element_at(F.split("path", "[.]"), -1)
+    return j.groupBy(leaf.alias("leaf")).agg(F.count("*").alias("n"), F.count_if(~F.col("answer").eqNullSafe(F.col("_old"))).alias("changed"), F.count_if(F.lower(F.trim("answer")) == nothing).alias("none"))
+
+
+def predicted_delta(new: DataFrame, old: DataFrame, split: float, conversions: tuple = (0.3, 0.55, 0.8)) -> DataFrame:
+    """Answers that changed, how many of them are likely to be scored, and the gain at low, middle and high conversion."""
+    n = new.join(old.select("qid", F.col("answer").alias("_old")), "qid").agg(F.count_if(F.col("answer") != F.col("_old")).alias("changed"))
+    scored = F.col("changed") * split
+    return n.select("changed", scored.alias("scored"), *[(scored * c).alias(k) for k, c in zip(("low", "mid", "high"), conversions, strict=True)])
+
+
 def subject(found: DataFrame, questions: DataFrame) -> DataFrame:
     """The team a question is about: the first mention before "against", else the first one."""
     j = found.join(questions.select("qid", F.expr("nullif(regexp_instr(lower(question), '\\\\bagainst\\\\b'), 0)").alias("cut")), "qid")

@@ -169,10 +169,21 @@ def split_slots(scored: DataFrame, k: int, n_hist: int) -> DataFrame:
     return r.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).drop("_r")
 
 
+def _lot(keys: list[str], seed: int) -> Column:
+    """A repeatable draw for a row, the same in every engine."""
+    return F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+
+
 def exact_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows by the hash of a key: repeatable."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(_lot([key], seed), key).limit(n)
 
 
 def downsample_negatives(df: DataFrame, positive: Column, permille: int, keys: list[str], seed: int = 0) -> DataFrame:
-    return df.where(positive | (F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1000)) < permille))
+    """All positives, and so many in a thousand of the others."""
+    return df.where(positive | (F.conv(F.substring(_lot(keys, seed), 1, 8), 16, 10).cast("long") % 1000 < permille))
+
+
+def last_of(df: DataFrame, k: int, order: list[str]) -> DataFrame:
+    """The last k rows of an order that has no ties."""
+    return df.orderBy(*[F.desc(c) for c in order]).limit(k)

@@ -99,7 +99,7 @@ def first_seen(p: DataFrame) -> DataFrame:
 
 
 def same_song(log: DataFrame, items: DataFrame) -> DataFrame:
-    """Identity by normalised title and artist; plays under another id of a song the user played before count as disguised replays."""
+    """Songs, by normalised title and artist, that a user played under several ids."""
     song = F.concat_ws("\x1f", F.trim(F.lower("track")), F.trim(F.lower("artist")))
     p = log.join(items.select("item_id", song.alias("song")), "item_id")
     g = p.groupBy("user_id", "song").agg(F.countDistinct("item_id").alias("ids"), F.count("*").alias("plays"))
@@ -154,3 +154,57 @@ def periodicity(p: DataFrame) -> DataFrame:
     b = g.select(F.when(F.col("r") <= 3, "r3").when(F.col("r") <= 7, "r7").otherwise("r_more").alias("rb"), F.least("n", F.lit(3)).alias("plays"), "m")
     agg = b.groupBy("rb", "plays").agg(F.avg("m").alias("m"))
     return agg.groupBy("plays").pivot("rb", ["r3", "r7", "r_more"]).agg(F.first("m"))
+
+
+def with_code(df: DataFrame, col: str, out: str) -> DataFrame:
+    """A category as the place of its value among all, from 0; null for a null. Only distinct values are ranked."""
+    codes = df.select(col).where(F.col(col).isNotNull()).distinct().select(F.col(col).alias("_v"), (F.row_number().over(Window.orderBy(col)) - 1).cast("long").alias(out))
+    return df.join(codes, df[col] == codes["_v"], "left").drop("_v")
+
+
+def metadata_features(cands: DataFrame, items: DataFrame, users: DataFrame) -> DataFrame:
+    """Like, download and play ratios of items, like rate and codes of users, and whether the user's top genre is among the item's; nulls are 0.
+
+    cands: user_id, item_id, pop. items: item_id, likes, dislikes, downloads, genres. users: user_id, liked, disliked, segment, nation, top_genre.
+    """
+    c = F.col
+    i = items.select("item_id", "likes", "genres", (c("likes") / (c("likes") + c("dislikes") + 1)).alias("like_ratio"), (c("downloads") / (c("likes") + 1)).alias("download_ratio"))
+    u = with_code(users, "segment", "u_segment").select("user_id", "u_segment", c("nation").alias("u_nation"), (c("liked") / (c("liked") + c("disliked") + 1)).alias("u_like_rate"), "top_genre")
+    out = cands.join(i, "item_id", "left").join(u, "user_id", "left")
+    match = F.coalesce(F.contains("genres", "top_genre").cast("int"), F.lit(0))
+    out = out.select("user_id", "item_id", "like_ratio", "download_ratio", (c("likes") / (c("pop") + 1)).alias("like_per_play"), "u_segment", "u_nation", "u_like_rate", match.alias("genre_match"))
+    return out.fillna(0)
+
+
+def percentiles(df: DataFrame, col: str, at: list[float]) -> DataFrame:
+    """Linear percentiles in one pass, a row for each."""
+    row = df.agg(F.percentile(col, F.array(*[F.lit(x) for x in at])).alias("v"))
+    return row.select(F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in at]).alias("q"), "v")).alias("z")).select(F.col("z.q").alias("q"), F.col("z.v").alias("x"))
+
+
+def quartile_labels(df: DataFrame, col: str) -> DataFrame:
+    """Quarter 0 to 3 by the table's own quartiles; a value equal to one is below it."""
+    cuts = df.agg(F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    return df.crossJoin(F.broadcast(cuts)).withColumn("quarter", F.aggregate("_q", F.lit(0), lambda a, q: a + (F.col(col) > q).cast("int"))).drop("_q")
+
+
+def tie_quantile(log: DataFrame, least: int = 8) -> DataFrame:
+    """user_id, d, ts, q: the quarter (1 newest) of each play among the plays of its user and day, where there are enough."""
+    w = Window.partitionBy("user_id", "d")
+    r = log.withColumn("_r", F.row_number().over(w.orderBy(F.desc("ts"), "item_id"))).withColumn("_n", F.count("*").over(w)).where(F.col("_n") >= least)
+    return r.select("user_id", "d", "ts", "item_id", F.least(F.greatest(F.ceil(F.col("_r") / F.col("_n") * 4), F.lit(1)), F.lit(4)).alias("q"))
+
+
+def histogram(df: DataFrame, col: str, lo: float, hi: float, n: int) -> DataFrame:
+    """Counts in n equal bins; 0 is below them and n + 1 from their end on."""
+    return df.groupBy(F.width_bucket(F.col(col), F.lit(float(lo)), F.lit(float(hi)), F.lit(n)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def disguised_replays(log: DataFrame, items: DataFrame, cut: dt.date) -> DataFrame:
+    """Plays from the cut on of items new to the user, how many are songs known under another id, and users who have any."""
+    song = F.concat_ws("\x1f", F.trim(F.lower("track")), F.trim(F.lower("artist")))
+    p = log.join(items.select("item_id", song.alias("song")), "item_id")
+    old, new = p.where(F.col("d") < F.lit(cut)), p.where(F.col("d") >= F.lit(cut))
+    fresh = new.join(old.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    known = fresh.join(old.select("user_id", "song", F.lit(1).alias("_k")).distinct(), ["user_id", "song"], "left")
+    return known.agg(F.count("*").alias("new_plays"), F.count("_k").alias("disguised"), F.countDistinct(F.when(F.col("_k") == 1, F.col("user_id"))).alias("users"))

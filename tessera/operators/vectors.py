@@ -222,3 +222,17 @@ def changed(a: DataFrame, b: DataFrame, k: int = 3) -> DataFrame:
     first = both.agg(F.count("*").alias("n"), F.count_if(F.col("x") != F.col("y")).alias("moved"))
     shared = a.where(F.col("rank") <= k).select("src", "dst").join(b.where(F.col("rank") <= k).select("src", "dst"), ["src", "dst"]).agg(F.count("*").alias("shared"))
     return first.crossJoin(shared)
+
+
+def bake_disagreeing(queries: DataFrame, verified: DataFrame, near: DataFrame, gallery: DataFrame, weight: float, least: int) -> DataFrame:
+    """Bake only pairs that are verified well enough and aren't the query's own first neighbour. verified: src, dst, n."""
+    first = near.where("rank = 1").select("src", F.col("dst").alias("_own"))
+    pairs = verified.where(F.col("n") >= least).join(first, "src", "left").where(~F.col("dst").eqNullSafe(F.col("_own"))).select("src", "dst", F.lit(1.0).alias("sim"))
+    return bake(queries, pairs, gallery, weight, 0.0)
+
+
+def margin_sweep(views: DataFrame, margins: list[float]) -> DataFrame:
+    """For each margin, how many vectors another view turns, and their mean gain. views: vec_id, view, sim."""
+    g = views.groupBy("vec_id").agg((F.max(F.when(F.col("view") != 0, F.col("sim"))) - F.max(F.when(F.col("view") == 0, F.col("sim")))).alias("gain"))
+    m = F.broadcast(views.sparkSession.createDataFrame([(float(x),) for x in margins], "margin double"))
+    return m.join(g, F.col("gain") > F.col("margin"), "left").groupBy("margin").agg(F.count("gain").alias("turned"), F.avg("gain").alias("mean_gain"))

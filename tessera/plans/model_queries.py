@@ -31,7 +31,13 @@ def _plays(s, d) -> DataFrame:
     return _prep(s, d).groupBy("user_id", "item_id").agg(F.sum("decay").alias("x"))
 
 
-register("pca_whiten", "src dst sim:f rank", lambda s, d: vc.neighbours(vc.Whitening(_all(s, d), 32).apply(_all(s, d).where("vec_id % 10 = 0")), vc.Whitening(_all(s, d), 32).apply(_all(s, d)), 3, digits=4))
+def _whitened(s, d) -> DataFrame:
+    """Neighbours of all vectors after one fit."""
+    out = vc.Whitening(_all(s, d), 32).apply(_all(s, d))
+    return vc.neighbours(out, out, 3, digits=4)
+
+
+register("pca_whiten", "src dst sim:f rank", _whitened)
 register("latent_svd", "user_id item_id latent:f", lambda s, d: md.latent(_plays(s, d), 16, fx.cohort(s, d), _pool(s, d)))
 register("als_implicit", "user_id item_id rank", lambda s, d: md.implicit_als(_plays(s, d)))
 register("kmeans_vlad", "vec_id c i x:f", lambda s, d: _encoded(s, d))

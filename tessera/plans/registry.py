@@ -18,7 +18,7 @@ DEFINITIONS = """
 WITH RECURSIVE
 log AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, ts, CAST(ts AS DATE) AS d, value AS listened FROM events),
 items AS (SELECT p_partkey AS item_id, CAST(p_size * 10 AS DOUBLE) AS duration, p_brand AS artist, p_type AS genre, p_name AS track FROM part),
-users AS (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0),
+users AS (SELECT DISTINCT user_id FROM events),
 p AS (SELECT log.*, duration, artist, genre, track, date_diff('day', d, DATE '2024-01-21') AS age, least(greatest(listened / duration, 0.0), 1.0) AS f,
       pow(0.5, date_diff('day', d, DATE '2024-01-21') / 5.0) AS decay, date_diff('day', d, DATE '2024-01-21') // 7 AS week
       FROM log JOIN items USING (item_id) WHERE d < DATE '2024-01-21' AND duration > 0),
@@ -67,7 +67,7 @@ def register(name: str, spec: str, query: Callable, sql: str | None = None, extr
 
 def _load() -> None:
     if not _QUERIES:
-        from tessera.plans import interaction_queries, model_queries, relation_queries, vector_queries  # noqa: F401
+        from tessera.plans import interaction_queries, lookup_queries, model_queries, relation_queries, retrieval_queries, source_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,7 +37,7 @@ register(
 register(
     "rp3", "user_id item_id rp3:f rp3b0:f", lambda s, d: gr.three_step_walk(_prep(s, d), fx.cohort(s, d), _pool(s, d), 14),
     """SELECT user_id, item_id, w / pow(di + 1, 0.4) AS rp3, w AS rp3b0 FROM (SELECT a.user_id, c.item_id, any_value(c.di) AS di, sum(1 / a.du / b.di / c.du) AS w FROM e a JOIN e b ON a.item_id = b.item_id JOIN e c ON b.user_id = c.user_id
-    WHERE a.user_id % 3 = 0 AND c.item_id IN (SELECT item_id FROM pool) GROUP BY 1, 2)""",
+    WHERE c.item_id IN (SELECT item_id FROM pool) GROUP BY 1, 2)""",
     """r AS (SELECT DISTINCT user_id, item_id FROM p WHERE age <= 14 AND listened >= 30),
     e AS (SELECT *, CAST(count(*) OVER (PARTITION BY user_id) AS DOUBLE) AS du, CAST(count(*) OVER (PARTITION BY item_id) AS DOUBLE) AS di FROM r),""",
 )
@@ -47,11 +47,11 @@ register(
     """r AS (SELECT user_id, item_id, sum(pow(0.5, age / 21.0)) AS x FROM p WHERE age <= 14 AND listened >= 30 GROUP BY 1, 2),
     damped AS (SELECT user_id, item_id, x / sqrt(pop) AS w FROM r JOIN (SELECT item_id, sum(x) + 1 AS pop FROM r GROUP BY 1) USING (item_id)),
     unit AS (SELECT user_id, item_id, w / sqrt(sum(w * w) OVER (PARTITION BY user_id)) AS w FROM damped),
-    near AS (SELECT a.user_id AS u, b.user_id AS v, sum(a.w * b.w) AS sim FROM unit a JOIN unit b USING (item_id) WHERE a.user_id % 3 = 0 AND a.user_id <> b.user_id GROUP BY 1, 2 QUALIFY rank() OVER (PARTITION BY u ORDER BY round(sum(a.w * b.w), 9) DESC) <= 10),""",
+    near AS (SELECT a.user_id AS u, b.user_id AS v, sum(a.w * b.w) AS sim FROM unit a JOIN unit b USING (item_id) WHERE a.user_id <> b.user_id GROUP BY 1, 2 QUALIFY rank() OVER (PARTITION BY u ORDER BY round(sum(a.w * b.w), 9) DESC) <= 10),""",
 )
 register(
     "co_listeners", "user_id item_id n", lambda s, d: gr.co_listeners(_prep(s, d), fx.cohort(s, d), 3),
-    "SELECT u AS user_id, item_id, count(*) AS n FROM (SELECT DISTINCT a.user_id AS u, b.user_id AS v FROM r a JOIN r b USING (item_id) WHERE a.user_id % 3 = 0 AND a.user_id <> b.user_id) JOIN r ON v = user_id GROUP BY 1, 2",
+    "SELECT u AS user_id, item_id, count(*) AS n FROM (SELECT DISTINCT a.user_id AS u, b.user_id AS v FROM r a JOIN r b USING (item_id) WHERE a.user_id <> b.user_id) JOIN r ON v = user_id GROUP BY 1, 2",
     "r AS (SELECT DISTINCT user_id, item_id FROM p WHERE age <= 3),",
 )
 register(
@@ -85,49 +85,6 @@ def _props(s, d) -> DataFrame:
 register("flatten_props", "entity:s ord path:s value:s", lambda s, d: _props(s, d).withColumn("path", F.array_join("path", ".")), "SELECT event_id AS entity, 0 AS ord, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events")
 
 
-def _leaves(s, d) -> DataFrame:
-    """Parts as entities with leaves of two seasons."""
-    p = table(s, d, "part").where("p_partkey % 7 = 0")
-    rows = F.array(
-        F.struct(F.lit(0).alias("ord"), F.array(F.lit("stats"), F.lit("2023"), F.lit("size")).alias("path"), F.col("p_size").cast("string").alias("value")),
-        F.struct(F.lit(1).alias("ord"), F.array(F.lit("stats"), F.lit("2024"), F.lit("size")).alias("path"), (F.col("p_size") + 1).cast("string").alias("value")),
-        F.struct(F.lit(2).alias("ord"), F.array(F.lit("info"), F.lit("brand_name")).alias("path"), F.col("p_brand").alias("value")),
-        F.struct(F.lit(3).alias("ord"), F.array(F.lit("info"), F.lit("alias"), F.lit("brand")).alias("path"), F.col("p_brand").alias("value")),
-    )
-    return p.select(F.col("p_partkey").cast("string").alias("entity"), F.explode(rows).alias("l")).select("entity", "l.*")
-
-
-def _questions(s, d) -> DataFrame:
-    p = table(s, d, "part").where("p_partkey % 7 = 0")
-    text = F.when(F.col("p_partkey") % 2 == 0, "What was the size in 2024?").otherwise("Which brand is it?")
-    return p.select(F.col("p_partkey").alias("qid"), F.col("p_partkey").cast("string").alias("entity"), text.alias("question"))
-
-
-_KB = """base AS (SELECT p_partkey AS qid, p_partkey % 2 = 0 AS year_asked, p_size, p_brand FROM part WHERE p_partkey % 7 = 0),
-leaves AS (SELECT qid, year_asked, 0 AS ord, 'stats.2023.size' AS path, CAST(p_size AS VARCHAR) AS value, CASE WHEN year_asked THEN 2 * 2.0 - 6 ELSE 0 END AS score FROM base
-UNION ALL SELECT qid, year_asked, 1, 'stats.2024.size', CAST(p_size + 1 AS VARCHAR), CASE WHEN year_asked THEN 2 * 1.5 + 2 * 2.0 + 6 ELSE 0 END FROM base
-UNION ALL SELECT qid, year_asked, 2, 'info.brand_name', p_brand, CASE WHEN year_asked THEN 0 ELSE 2 * 2.0 END FROM base
-UNION ALL SELECT qid, year_asked, 3, 'info.alias.brand', p_brand, CASE WHEN year_asked THEN 0 ELSE 2 * 2.0 END FROM base),"""
-register(
-    "leaf_topk", "qid path:s value:s score:f rank", lambda s, d: kb.top_leaves(kb.score(_leaves(s, d), _questions(s, d)), 3).withColumn("path", F.array_join("path", ".")),
-    "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, ord) AS rank FROM leaves QUALIFY rank <= 3", _KB,
-)
-register(
-    "guarded_filter", "qid path:s value:s", lambda s, d: kb.guarded(kb.score(_leaves(s, d), _questions(s, d)), F.array_contains("raw", "2024") & F.array_contains("path", "2023")).withColumn("path", F.array_join("path", ".")),
-    "SELECT qid, path, value FROM leaves WHERE NOT (year_asked AND path = 'stats.2023.size')", _KB,
-)
-register(
-    "value_collapse", "qid value:s n_paths rank path:s score:f", lambda s, d: kb.collapse(kb.top_leaves(kb.score(_leaves(s, d), _questions(s, d)), 4)),
-    "SELECT qid, value, count(*) AS n_paths, min(rank) AS rank, arg_min(path, rank) AS path, arg_min(score, rank) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, ord) AS rank FROM leaves) GROUP BY 1, 2", _KB,
-)
-register(
-    "leaf_answers", "qid answer:s", lambda s, d: kb.answers(kb.score(_leaves(s, d), _questions(s, d)), _questions(s, d)),
-    "SELECT qid, CASE WHEN year_asked THEN CAST(p_size + 1 AS VARCHAR) ELSE p_brand END AS answer FROM base", _KB,
-)
-register(
-    "score_margin", "qid value:s margin:f", lambda s, d: kb.margin(kb.collapse(kb.top_leaves(kb.score(_leaves(s, d), _questions(s, d)), 4))),
-    "SELECT qid, value, score - coalesce(nxt, 0) AS margin FROM (SELECT *, lead(score) OVER w AS nxt, row_number() OVER w AS r FROM (SELECT qid, value, min(rank) AS rank, arg_min(score, rank) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, ord) AS rank FROM leaves) GROUP BY 1, 2) WINDOW w AS (PARTITION BY qid ORDER BY score DESC, rank)) WHERE r = 1", _KB,
-)
 register(
     "slugs", "p_partkey slug:s", lambda s, d: table(s, d, "part").select("p_partkey", kb.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug")),
     "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part",

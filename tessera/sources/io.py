@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import glob
+import json
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -55,13 +55,88 @@ def read_vectors_csv(spark: SparkSession, path: str, dims: int) -> DataFrame:
     return df.select("vec_id", F.array(*[F.col(f"feature_{i}") for i in range(dims)]).alias("v"))
 
 
-def read_npy(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
-    """An N x D array file as rows keyed by name or position; the array passes through the driver."""
+def read_npy(spark: SparkSession, path: str, names: list[str] | None = None, rows: int = 4096) -> DataFrame:
+    """An N x D array file as rows keyed by name or position. Executors map ``rows`` rows each of a file they all can open."""
     import numpy as np
 
-    data = np.load(path)
-    keys = names if names is not None else list(range(len(data)))
-    return spark.createDataFrame([(k, [float(y) for y in x]) for k, x in zip(keys, data, strict=True)], f"vec_id {'string' if names is not None else 'long'}, v array<double>")
+    n = len(np.load(path, mmap_mode="r"))
+
+    def read(batches):
+        import pandas as pd
+
+        for b in batches:
+            for at in b.id:
+                x = np.asarray(np.load(path, mmap_mode="r")[at * rows : (at + 1) * rows], float)
+                yield pd.DataFrame({"vec_id": np.arange(at * rows, at * rows + len(x)), "v": list(x)})
+
+    out = spark.range(max(1, -(-n // rows))).mapInPandas(read, "vec_id long, v array<double>")
+    if names is None:
+        return out
+    table = spark.createDataFrame(list(enumerate(names)), "vec_id long, name string")
+    return out.join(table, "vec_id").select(F.col("name").alias("vec_id"), "v")
+
+
+def write_npy(vectors: DataFrame, folder: str) -> None:
+    """A file part-<first id>.npy for each partition, in order of ids, in a folder that all executors can open."""
+    import os
+
+    import numpy as np
+
+    def write(batches):
+        import pandas as pd
+
+        parts = [b for b in batches if len(b)]
+        if parts:
+            b = pd.concat(parts)
+            os.makedirs(folder, exist_ok=True)
+            np.save(os.path.join(folder, f"part-{int(b.vec_id.iloc[0]):012d}.npy"), np.stack(b.v.to_numpy()).astype("float32"))
+        yield pd.DataFrame({"n": [sum(map(len, parts))]})
+
+    vectors.repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("vec_id", "v").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+
+
+def split_object(source, wanted: set[str] | None = None):
+    """(key, raw text) of each member of one huge JSON object, from a text stream, without parsing the members.
+
+    Only the current member is in memory; with ``wanted`` the scan ends once all of them were found. Written as lines of
+    key, tab and raw text (line feeds only stand between tokens there, and become blanks) it is what read_keyed_json reads.
+    """
+    left, depth, quoted, escaped, key, held, word = set(wanted or ()), 0, False, False, None, [], None
+    for piece in iter(lambda: source.read(1 << 16), ""):
+        for c in piece:
+            if quoted:
+                word.append(c) if depth == 1 and key is None else held.append(c)
+                if escaped:
+                    escaped = False
+                elif c == "\\":
+                    escaped = True
+                elif c == '"':
+                    quoted = False
+                continue
+            if c == '"':
+                quoted = True
+                if depth == 1 and key is None:
+                    word = [c]
+                else:
+                    held.append(c)
+            elif depth == 1 and key is None:
+                if c == ":":
+                    key, held = json.loads("".join(word)), []
+                depth -= c == "}"
+            elif depth == 0:
+                depth += c == "{"
+            elif depth == 1 and c in ",}":
+                if wanted is None or key in wanted:
+                    yield key, "".join(held).strip().replace("\n", " ")
+                    left.discard(key)
+                    if wanted is not None and not left:
+                        return
+                key = None
+                depth -= c == "}"
+            else:
+                depth += c in "{["
+                depth -= c in "}]"
+                held.append(c)
 
 
 def read_keyed_json(spark: SparkSession, path: str) -> DataFrame:
@@ -69,9 +144,10 @@ def read_keyed_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.split("value", "\t", 2)[0].alias("entity"), F.split("value", "\t", 2)[1].alias("raw"))
 
 
-def only_match(pattern: str) -> str:
-    """The one path that a pattern matches."""
-    found = glob.glob(pattern, recursive=True)
+def only_match(spark: SparkSession, pattern: str) -> str:
+    """The one path that a pattern matches, in any store that Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
     if len(found) != 1:
         raise FileNotFoundError(f"{pattern} matches {len(found)} paths")
-    return found[0]
+    return found[0].getPath().toString()

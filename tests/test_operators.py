@@ -1,7 +1,9 @@
 """Properties that SQL twins don't show: no look-ahead, determinism, bounds, exact literals, streams against batches."""
 
 import datetime as dt
+import json
 import random
+from io import StringIO
 
 import numpy as np
 import pytest
@@ -124,7 +126,7 @@ def test_questions(spark):
 
 
 def test_names(spark):
-    teams = spark.createDataFrame([("k1", "North", "Gulls", "NG"), ("k2", "North", "Owls", "NO")], "key string, market string, name string, abbr string")
+    teams = spark.createDataFrame([(0, "k1", "North", "Gulls", "NG"), (1, "k2", "North", "Owls", "NO")], "ord int, key string, market string, name string, abbr string")
     qs = spark.createDataFrame([(1, "Runs of the North Owls against the Gulls"), (2, "against Owls the gulls"), (3, "nothing")], "qid int, question string")
     found = kb.mentions(qs, kb.aliases(teams))
     assert {(r.qid, r.alias) for r in found.collect()} == {(1, "north owls"), (1, "gulls"), (2, "owls"), (2, "gulls")}
@@ -159,7 +161,28 @@ def test_sources(spark, tmp_path):
     build = lambda: calls.append(1) or recs
     assert io.cached(spark, str(tmp_path / "c"), build).count() == io.cached(spark, str(tmp_path / "c"), build).count() == 8 and len(calls) == 1
     with pytest.raises(FileNotFoundError):
-        io.only_match(str(tmp_path / "*"))
+        io.only_match(spark, str(tmp_path / "*"))
+    assert io.only_match(spark, str(tmp_path / "*.npy")).endswith("x.npy")
+    folder = tmp_path / "vectors"
+    io.write_npy(fx.vectors(spark, SF).repartition(3), str(folder))
+    stored = np.concatenate([np.load(f) for f in sorted(folder.iterdir())])
+    want = np.array([r.v for r in fx.vectors(spark, SF).orderBy("vec_id").collect()])
+    assert np.allclose(stored, want, atol=1e-6)
+    np.save(tmp_path / "y.npy", want)
+    again = io.read_npy(spark, str(tmp_path / "y.npy"), rows=64).orderBy("vec_id").collect()
+    assert np.allclose(np.array([r.v for r in again]), want)
+
+
+def test_one_huge_object(spark, tmp_path):
+    text = '{ "a": {"x": [1, "}{", 2.50], "q\\"k": "\\\\"},\n "b\\u00e9": 123.4500, "c": "say \\"hi\\", ok", "d": [],"e": {\n"deep": {"er": [{"z": null}]}} }'
+    got = dict(io.split_object(StringIO(text)))
+    assert {k: json.loads(v) for k, v in got.items()} == json.loads(text) and got["b\u00e9"] == "123.4500"
+    source = StringIO(text)
+    assert list(dict(io.split_object(source, {"a"}))) == ["a"] and dict(io.split_object(StringIO("{}"))) == {}
+    lines = tmp_path / "lines.txt"
+    lines.write_text("".join(f"{k}\t{v}\n" for k, v in got.items()), encoding="utf-8")
+    leaves = kb.flatten(io.read_keyed_json(spark, str(lines))).collect()
+    assert {(r.entity, ".".join(r.path), r.value) for r in leaves} >= {("a", "x.2", "2.50"), ("b\u00e9", "", "123.4500"), ("a", "x.1", "}{")}
 
 
 def test_functions(spark):
