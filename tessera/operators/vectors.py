@@ -12,6 +12,8 @@ from tessera.runtime import Scratch
 
 #: Neighbours come from a broadcast matrix up to so many numbers, from a blocked join of both sides beyond.
 BROADCAST_NUMBERS = 20_000_000
+#: A block of either side holds about so many numbers.
+BLOCK_NUMBERS = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,24 +57,32 @@ def neighbours(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: boo
     """
     spark = queries.sparkSession
     dims = len(gallery.first().v) if gallery.limit(1).count() else 0
+    rows = gallery.count()
     kind = gallery.schema["vec_id"].dataType.simpleString()
     schema = f"src {kind}, dst {kind}, sim double"
 
     def best(q_ids, q, g_ids, g):
+        """k rows a query, for ids and rows of a gallery sorted by id."""
         q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-12)
+        g_ids = np.asarray(g_ids)
         for at in range(0, len(q), 256):
-            sims = np.round(q[at : at + 256] @ g.T, digits)
-            for i, row in enumerate(sims):
-                order = np.argsort(-row, kind="stable")
-                if exclude_self:
-                    order = order[g_ids[order] != q_ids[at + i]]
-                order = order[:k]
-                yield pd.DataFrame({"src": q_ids[at + i], "dst": g_ids[order], "sim": row[order]})
-
-    if gallery.count() * max(dims, 1) <= BROADCAST_NUMBERS:
-        rows = sorted(gallery.collect(), key=lambda r: r.vec_id)
-        matrix = np.array([r.v for r in rows], float).reshape(len(rows), -1)
-        shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows]), matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-12)))
+            ids = np.asarray(q_ids[at : at + 256])
+            far = -np.round(q[at : at + 256] @ g.T, digits)
+            if exclude_self:
+                own = np.minimum(np.searchsorted(g_ids, ids), len(g_ids) - 1)
+                here = np.flatnonzero(g_ids[own] == ids)
+                far[here, own[here]] = np.inf
+            kth = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
+            i, j = np.nonzero((far <= kth[:, None]) & np.isfinite(far))
+            order = np.lexsort((j, far[i, j], i))
+            i, j = i[order], j[order]
+            take = np.arange(len(i)) - np.searchsorted(i, i) < k  # ties at the k-th place go by id
+            yield pd.DataFrame({"src": ids[i[take]], "dst": g_ids[j[take]], "sim": -far[i[take], j[take]]})
+
+    if rows * max(dims, 1) <= BROADCAST_NUMBERS:
+        held = gallery.select("vec_id", "v").toPandas().sort_values("vec_id")  # so many numbers at most
+        matrix = np.stack(held.v.to_numpy()).astype(float) if len(held) else np.zeros((0, 1))
+        shared = spark.sparkContext.broadcast((held.vec_id.to_numpy(), matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-12)))
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             g_ids, g = shared.value
@@ -82,9 +92,11 @@ def neighbours(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: boo
 
         found = queries.select("vec_id", "v").mapInPandas(near, schema)
     else:
-        sides = 16
-        q = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(sides)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("gb"), F.lit(0).alias("side"))
-        g = gallery.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("qb"), F.pmod(F.xxhash64("vec_id"), F.lit(sides)).alias("gb"), F.lit(1).alias("side"))
+        # blocks of a stated size, however many: each query meets each block of the gallery once
+        g_sides, q_sides = -(-rows * dims // BLOCK_NUMBERS), max(1, -(-queries.count() * dims // BLOCK_NUMBERS))
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(q_sides)).cast("int").alias("qb"), spread(g_sides).alias("gb"), F.lit(0).alias("side"))
+        g = gallery.select("vec_id", "v", spread(q_sides).alias("qb"), F.pmod(F.xxhash64("vec_id"), F.lit(g_sides)).cast("int").alias("gb"), F.lit(1).alias("side"))
 
         def block(pdf: pd.DataFrame) -> pd.DataFrame:
             a, b = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("vec_id")

@@ -78,6 +78,7 @@ def test_neighbours_two_ways(spark, monkeypatch):
     q = v.where("vec_id % 10 = 0")
     one = sorted(map(tuple, vc.neighbours(q, v, 5).collect()))
     monkeypatch.setattr(vc, "BROADCAST_NUMBERS", 0)
+    monkeypatch.setattr(vc, "BLOCK_NUMBERS", 3000)
     assert one == sorted(map(tuple, vc.neighbours(q, v, 5).collect()))
     rows = {r.vec_id: np.array(r.v) for r in v.collect()}
     src, dst = one[0][0], one[0][1]
