@@ -58,6 +58,18 @@ def test_round_trip(spark, docs):
         assert at <= 4096 and at & (at - 1) == 0  # full or a power of two: nothing is padded
 
 
+def test_documents_follow_the_curve(spark, docs):
+    """Along the sequences of each partition, and from one partition to the next, documents go by (key, id)."""
+    rows = docs.where("(doc_id != 5 or start = 'x') and doc_id is not null")
+    key = {r.doc_id: r.curve_key for r in packing.tokenise(rows).select("doc_id", "curve_key").collect()}
+    first = [r for r in packing.pack(rows).collect() if r.start == 0]
+    first.sort(key=lambda r: (r.sequence_id, r.offset))
+    by_part = defaultdict(list)
+    for r in first:
+        by_part[r.sequence_id >> 32].append((key[r.doc_id], r.doc_id))
+    assert [x for p in sorted(by_part) for x in by_part[p]] == sorted((k, d) for d, k in key.items())
+
+
 def test_repeated_rows_and_empty_table(spark, docs):
     twice = packing.pack(docs.where("doc_id = 5")).collect()
     assert sum(r.length for r in twice) == sum(n for _, n in {(r.doc_tokens, r.doc_tokens) for r in twice})

@@ -102,3 +102,58 @@ def test_calibration_takes_every_example(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "isotonic", lambda v, y: sizes.append(len(v)) or plain(v, y))
     model, _ = toxicity.fit(docs, labels)
     assert sizes == [len(model.index.ids)] and sizes[0] > 4000
+
+
+def test_votes_against_a_dense_form(spark, labelled):
+    """Frequencies, weights, neighbours and scores of whole texts, from dense vectors over all examples."""
+    docs, labels = labelled
+    model, vectors = toxicity.fit(docs, labels)
+    rows = vectors.collect()
+    size = len(model.index.idf)
+    counts = np.zeros((len(rows), size))
+    for i, r in enumerate(rows):
+        counts[i, r.terms] = r.counts
+    assert np.allclose(model.index.idf, np.log(1 + len(rows) / (counts > 0).sum(0)))
+    weights = (counts > 0) * (1 + np.log(np.maximum(counts, 1))) * model.index.idf
+    weights /= np.maximum(np.linalg.norm(weights, axis=1, keepdims=True), 1e-12)
+    truth = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    place = {r.doc_id: i for i, r in reversed(list(enumerate(rows))) if r.terms}
+    chosen = [i for i in model.index.ids.tolist()]
+    assert set(chosen) == {i for i in place if i is not None and i in truth and zlib.crc32(str(i).encode()) % 4 != 2}
+    examples, labels_of = weights[[place[i] for i in chosen]], np.array([truth[i] for i in chosen], float)
+    got = {(r.doc_id, r.score): r.evidence for r in toxicity.score(docs, labels).collect()}
+    for r, x in zip(rows, weights, strict=True):
+        if not len(r.terms):
+            assert (r.doc_id, model.bare) in got
+            continue
+        sims = np.round(examples @ x, 12)
+        best = [i for i in np.lexsort((np.arange(len(sims)), -sims)) if sims[i] > 0][:15]
+        w = 1 / (1.05 - np.minimum(sims[best], 1))
+        vote = (w @ labels_of[best] + model.bare / 1.05) / (w.sum() + 1 / 1.05)
+        scored = [(s, e) for (d, s), e in got.items() if d == r.doc_id and abs(s - np.interp(vote, *model.knots)) < 1e-9]
+        assert scored and sorted(np.round(examples[[chosen.index(i) for i in scored[0][1]]] @ x, 9)) == sorted(np.round(sims[best], 9))
+
+
+def test_context_vectors_against_a_direct_form(spark):
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["stone", "River,", "OLD", "mill", "x1", "the", "the"]) for _ in range(rng.randrange(0, 30))) for _ in range(60)] + [None, "", "one", "a  a a"]
+    sums = np.zeros((quality.WORDS + quality.SHAPES, quality.SIZE))
+    whole = [w for w in textbytes.words(pa.array(texts))][0]
+    words, shapes = quality.entries(whole)
+    for a, b in zip(whole.starts[:-1], whole.starts[1:], strict=True):
+        for k in range(a, b):
+            for other in (k - 1, k + 1):
+                if a <= other < b:
+                    for entry in (words[k], shapes[k]):
+                        sums[entry] += quality._INDEX[words[other]] + quality._INDEX[shapes[other]]
+    want = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    got = quality.context_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    assert np.allclose(got, want, atol=2e-5)
+    pooled = quality.pooled(whole, got)
+    for i, (a, b) in enumerate(zip(whole.starts[:-1], whole.starts[1:], strict=True)):
+        v, s = got[words[a:b]].astype(float), got[shapes[a:b]].astype(float)
+        direct = np.concatenate([v.mean(0), v.std(0), s.mean(0)]) if b > a else np.zeros(3 * quality.SIZE)
+        assert np.allclose(pooled[i], direct, atol=1e-3)
+    assert (np.count_nonzero(quality._INDEX, axis=1) == 4).all()
