@@ -12,7 +12,7 @@ import re
 import numpy as np
 import public_tokenizers
 
-from tessera.llm.textbytes import trim  # noqa: F401  for tasks that tokenise after other work
+from tessera.llm.textbytes import trim
 
 TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = 2
@@ -42,11 +42,14 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
         self.light = Tokenizer.from_str(json.dumps(spec))  # the same merges for words that need no other preparation
+        del spec
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}
         self.closes = np.zeros(1 << 16, bool)  # ids that end a word
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.cache, self.limit = {"": b""}, cache
+        del vocabulary
+        trim()
 
     def _learn(self, words: list[str]) -> None:
         """Words of letters go through the tokenizer many at a time: each is one piece and has one closing id."""
