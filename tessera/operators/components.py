@@ -1,7 +1,11 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, by alternating large and small stars, or in one task where it is small."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.runtime import Scratch
@@ -10,6 +14,8 @@ from tessera.runtime import Scratch
 EDGES_PER_FILE = 250_000
 #: A node with more edges than HUB, and than a HUBS-th of all, takes its least neighbour from a broadcast of such nodes.
 HUB, HUBS = 1_000, 100_000
+#: So many edges, of some 100 bytes each while they are joined up, are left to one task; rounds over them are mostly planning.
+ONE_TASK = 500_000
 
 
 def _with_least(rows: DataFrame, edges: int) -> tuple[DataFrame, DataFrame]:
@@ -27,14 +33,40 @@ def _with_least(rows: DataFrame, edges: int) -> tuple[DataFrame, DataFrame]:
     return marked.where("h is not null").withColumnRenamed("h", "m").union(rest.select("u", "v", "m")), least.drop("n")
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges u, v, ascending, and the smallest node that each of them reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while (apart := label[i] != label[j]).any():
+        i, j = label[i[apart]], label[j[apart]]
+        np.minimum.at(label, np.maximum(i, j), np.minimum(i, j))
+        while (label[label] != label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if held:
+        found = least_reachable(*[np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in (0, 1)])
+        yield pa.record_batch([pa.array(x, held[0].schema.field(0).type) for x in found], ["node", "component"])
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str = "components", one_task: int = ONE_TASK) -> DataFrame:
     """node and component (the smallest node reachable) for every node of edges ``a``, ``b``.
 
     Each round points the neighbours of a node at the smallest of them, so components shrink to stars around their
-    smallest nodes in a logarithmic number of rounds. Loops and repeated edges do no harm.
+    smallest nodes in a logarithmic number of rounds. At most ``one_task`` edges are joined up by one task on an
+    executor instead, with the same result. Loops, nulls and repeated edges do no harm.
     """
-    after = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{name}_0")
+    after = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a != b").distinct(), f"{name}_0")
     state, before, turn = _state(after), None, 0
+    if state[0] <= one_task:
+        kind = after.schema["u"].dataType.simpleString()
+        found = scratch.write(after.coalesce(1).mapInArrow(_in_one_task, f"node {kind}, component {kind}"), f"{name}_found")
+        scratch.drop(f"{name}_0")
+        return found
     while state != before:
         edges, before, turn = after, state, turn + 1
         files = -(-state[0] // EDGES_PER_FILE) or 1
