@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import vectors as vc
+from tessera.plans import retrieval_queries as rq, vector_queries as vq
 from tessera.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +37,15 @@ def test_grid_of_odd_ids(spark, monkeypatch, kind):
     monkeypatch.setattr(vc, "BLOCK_NUMBERS", 640)
     assert one == sorted(map(tuple, vc.neighbours(v, v, 100).collect())) and len(one) == 90 * 89
     assert vc.neighbours(v.where("false"), v, 3).count() == vc.neighbours(v, v.where("false"), 3).count() == 0
+
+
+def test_neighbours_are_found_once(spark, monkeypatch):
+    calls, found = [], vc.neighbours
+    monkeypatch.setattr(vc, "neighbours", lambda *a, **b: calls.append(1) or found(*a, **b))
+    near = vq._near(spark, SF)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "FlatMapGroups" not in plan  # a table
+    for name in ("_baked", "_injected"):
+        assert len(calls) == 1, name
+        getattr(rq, name)(*([vq._all(spark, SF), near] if name == "_baked" else [near])).count()
+    assert len(calls) == 1
