@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import vectors as vc
-from tessera.plans import retrieval_queries as rq, vector_queries as vq
+from tessera.operators import jsonkb as kb, vectors as vc
+from tessera.plans import lookup_queries as lk, retrieval_queries as rq, vector_queries as vq
 from tessera.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +49,13 @@ def test_neighbours_are_found_once(spark, monkeypatch):
         assert len(calls) == 1, name
         getattr(rq, name)(*([vq._all(spark, SF), near] if name == "_baked" else [near])).count()
     assert len(calls) == 1
+
+
+def test_questions_are_never_broadcast(spark, monkeypatch):
+    teams, qs = lk._teams(spark, SF), lk._team_questions(spark, SF)
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [qid" not in plan(kb.subject(kb.mentions(qs, kb.aliases(teams)), qs))
+    one = sorted(map(tuple, kb.mentions(qs, kb.aliases(teams)).collect()))
+    monkeypatch.setattr(kb, "NAMES_BYTES", 0)
+    found = kb.mentions(qs, kb.aliases(teams))
+    assert "SortMergeJoin [word" in plan(found) and one == sorted(map(tuple, found.collect())) and one
