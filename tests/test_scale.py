@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import jsonkb as kb, vectors as vc
+from tessera.operators import graph as gr, jsonkb as kb, vectors as vc
 from tessera.plans import lookup_queries as lk, retrieval_queries as rq, vector_queries as vq
 from tessera.sources import fixtures as fx
 
@@ -59,3 +59,20 @@ def test_questions_are_never_broadcast(spark, monkeypatch):
     monkeypatch.setattr(kb, "NAMES_BYTES", 0)
     found = kb.mentions(qs, kb.aliases(teams))
     assert "SortMergeJoin [word" in plan(found) and one == sorted(map(tuple, found.collect())) and one
+
+
+@pytest.mark.parametrize("numbers", [gr.NUMBERS, 900])
+def test_users_meet_in_a_grid(spark, monkeypatch, numbers):
+    dice = np.random.default_rng(4)
+    plays = [(u, i, int(a), 40.0) for u in range(70) for i, a in zip(dice.integers(0, 9, 4).tolist(), dice.integers(0, 6, 4))] + [(500 + u, 3, 2, 40.0) for u in range(30)]  # a group of equal rows
+    p, users = spark.createDataFrame(plays, "user_id long, item_id long, age int, listened double"), spark.createDataFrame([(u,) for u in range(0, 520, 2)], "user_id long")
+    seen = []
+    for growth in (10**9, 0):
+        monkeypatch.setattr(gr, "JOIN_GROWTH", growth)
+        monkeypatch.setattr(gr, "BLOCK_USERS", 16)
+        monkeypatch.setattr(gr, "NUMBERS", numbers)
+        near = sorted((r.u, r.v, round(r.sim, 9)) for r in gr.user_neighbours(p, users, 5).collect())
+        plan = gr.co_listeners(p, users, 3)
+        assert ("MapInArrow" in plan._jdf.queryExecution().optimizedPlan().toString()) == (growth == 0)  # no table of pairs of users
+        seen.append((near, sorted(map(tuple, plan.collect()))))
+    assert seen[0] == seen[1] and all(seen[0])
