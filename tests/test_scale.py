@@ -76,3 +76,14 @@ def test_users_meet_in_a_grid(spark, monkeypatch, numbers):
         assert ("MapInArrow" in plan._jdf.queryExecution().optimizedPlan().toString()) == (growth == 0)  # no table of pairs of users
         seen.append((near, sorted(map(tuple, plan.collect()))))
     assert seen[0] == seen[1] and all(seen[0])
+
+
+def test_leaves_of_a_task_are_bounded(spark, monkeypatch):
+    leaves, qs = lk._leaves(spark, SF), lk._questions(spark, SF)
+    one = sorted(map(tuple, kb.top_leaves(kb.score(leaves, qs), 3).select("qid", "ord", "rank").collect()))
+    monkeypatch.setattr(kb, "LEAVES_A_TASK", 100)
+    top = kb.top_leaves(kb.score(leaves, qs), 3).select("qid", "ord", "rank")
+    plan = top._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 3 and "Broadcast" not in plan
+    assert sorted(map(tuple, top.collect())) == one and len(one) == 3 * qs.count()
+    assert kb.deepest_prefix(leaves, lk._nodes(spark, SF))._jdf.queryExecution().sparkPlan().toString().count("REPARTITION_BY_NUM") == 2
