@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as gr, jsonkb as kb, vectors as vc
-from tessera.plans import lookup_queries as lk, retrieval_queries as rq, vector_queries as vq
+from tessera.plans import registry
 from tessera.sources import fixtures as fx
 
+registry.queries()  # loads every family; a family imported before would keep the others out of the twins' tests
+from tessera.plans import lookup_queries as lk, retrieval_queries as rq, vector_queries as vq  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
