@@ -90,3 +90,22 @@ def test_leaves_of_a_task_are_bounded(spark, monkeypatch):
     assert plan.count("REPARTITION_BY_NUM") == 3 and "Broadcast" not in plan
     assert sorted(map(tuple, top.collect())) == one and len(one) == 3 * qs.count()
     assert kb.deepest_prefix(leaves, lk._nodes(spark, SF))._jdf.queryExecution().sparkPlan().toString().count("REPARTITION_BY_NUM") == 2
+
+
+def _norms(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+
+
+def test_norms_are_computed_once_a_row(spark):
+    v = spark.createDataFrame([(i, [float(i + j + 1) for j in range(3)]) for i in range(4)], "vec_id long, v array<double>")
+    pairs = spark.createDataFrame([(0, 1, 0.9), (2, 3, 0.8)], "src long, dst long, sim double")
+    assert _norms(vc.normalised(v)) == 1  # one in the lambda that binds it, none in the lambda over elements
+    baked = vc.bake(v, pairs, v, 0.5, 0.0)
+    assert _norms(baked) == 4  # of g, of q left as it is, of q and of the sum; within one another they took the cube of the width
+    unit = lambda x: np.array(x) / (np.linalg.norm(x) + 1e-12)
+    at = lambda i: unit([i + j + 1 for j in range(3)])
+    for r in baked.collect():
+        want = unit(at(r.vec_id) + 0.5 * at(r.vec_id + 1)) if r.vec_id in (0, 2) else at(r.vec_id)
+        assert np.allclose(r.v, want, atol=1e-12)
+    wide = vc.normalised(spark.createDataFrame([(0, None), (1, []), (2, [3.0, None]), (3, [0.0, 0.0])], "vec_id long, v array<double>"))
+    assert [r.v for r in wide.orderBy("vec_id").collect()] == [None, [], [None, None], [0.0, 0.0]]
