@@ -109,3 +109,14 @@ def test_norms_are_computed_once_a_row(spark):
         assert np.allclose(r.v, want, atol=1e-12)
     wide = vc.normalised(spark.createDataFrame([(0, None), (1, []), (2, [3.0, None]), (3, [0.0, 0.0])], "vec_id long, v array<double>"))
     assert [r.v for r in wide.orderBy("vec_id").collect()] == [None, [], [None, None], [0.0, 0.0]]
+
+
+def test_expansion_keeps_vectors_whole(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 3.0]), (3, None), (4, [])], "vec_id long, v array<double>")
+    near = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.9), (1, 2, -0.3), (2, 4, 0.4), (1, 0, None)], "src long, dst long, sim double")
+    out = vc.expand(v, near, v, 2.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan  # a row for each number of each neighbour went through two shuffles
+    got, r = {x.vec_id: x.v for x in out.collect()}, 0.5**0.5
+    want = {0: np.array([1 + 0.81 * r, 0.25 + 0.81 * r]), 1: np.array([0.0, 1.0]), 2: np.array([r, r])}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], x / np.linalg.norm(x), atol=1e-9) for k, x in want.items())
