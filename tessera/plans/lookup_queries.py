@@ -16,16 +16,28 @@ LEAVES = [
 QUESTIONS = ["What was the size in 2024?", "Which brand is it?", "What was the price in June?", "How many economy sizes are there in total?", "What alias of the brand did it have in 2023?"]
 
 
-def _leaves(s, d) -> DataFrame:
+def _parts(s, d) -> DataFrame:
     """Parts as entities."""
+    return table(s, d, "part").withColumn("entity", F.col("p_partkey").cast("string"))
+
+
+def _leaves_of(parts: DataFrame) -> DataFrame:
     plain = lambda x: F.expr(x.replace("{", "").replace("}", ""))
     rows = [F.struct(F.lit(i).alias("ord"), F.array(*[plain(x) if "{" in x else F.lit(x) for x in path]).alias("path"), plain(f"cast({value} as string)").alias("value")) for i, (path, value) in enumerate(LEAVES)]
-    return table(s, d, "part").select(F.col("p_partkey").cast("string").alias("entity"), F.explode(F.array(*rows)).alias("l")).select("entity", "l.*")
+    return parts.select("entity", F.explode(F.array(*rows)).alias("l")).select("entity", "l.*")
 
 
-def _questions(s, d) -> DataFrame:
+def _leaves(s, d) -> DataFrame:
+    return _leaves_of(_parts(s, d))
+
+
+def _questions_of(parts: DataFrame) -> DataFrame:
     text = F.element_at(F.array(*[F.lit(q) for q in QUESTIONS]), (F.col("p_partkey") % len(QUESTIONS) + 1).cast("int"))
-    return table(s, d, "part").select(F.col("p_partkey").alias("qid"), F.col("p_partkey").cast("string").alias("entity"), text.alias("question"))
+    return parts.select(F.col("p_partkey").alias("qid"), "entity", text.alias("question"))
+
+
+def _questions(s, d) -> DataFrame:
+    return _questions_of(_parts(s, d))
 
 
 def _sql_leaf(i: int, path: list[str], value: str) -> str:
@@ -49,8 +61,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6
 one AS (SELECT qid, value, count(*) AS n_paths, min(rank) AS rank, arg_min(path, rank) AS path, arg_min(score, rank) AS score FROM ranked WHERE rank <= 4 GROUP BY 1, 2),"""
 
 
-def _scored(s, d) -> DataFrame:
-    return kb.score(_leaves(s, d), _questions(s, d))
+def _scored(s, d, rules: list | None = None) -> DataFrame:
+    parts, n = kb.dealt(_parts(s, d), len(LEAVES))
+    return kb.score(_leaves_of(parts), _questions_of(parts), rules, tasks=n)
 
 
 def _dotted(df: DataFrame) -> DataFrame:
@@ -73,7 +86,7 @@ register(
     "SELECT qid, value, score - coalesce(nxt, 0) AS margin FROM (SELECT *, lead(score) OVER w AS nxt, row_number() OVER w AS r FROM one WINDOW w AS (PARTITION BY qid ORDER BY score DESC, rank)) WHERE r = 1", _SCORED,
 )
 register(
-    "additive_rules", "qid path:s value:s score:f rank", lambda s, d: _dotted(kb.top_leaves(kb.score(_leaves(s, d), _questions(s, d), [(F.element_at("path", -1) == "size", 3.0), (F.array_contains("path", "alias"), -1.5)]), 2)),
+    "additive_rules", "qid path:s value:s score:f rank", lambda s, d: _dotted(kb.top_leaves(_scored(s, d, [(F.element_at("path", -1) == "size", 3.0), (F.array_contains("path", "alias"), -1.5)]), 2)),
     "SELECT qid, path, value, score + b AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score + b, 6) DESC, ord) AS rank FROM (SELECT *, CASE WHEN segments[-1] = 'size' THEN 3.0 ELSE 0 END + CASE WHEN list_contains(segments, 'alias') THEN -1.5 ELSE 0 END AS b FROM scored) QUALIFY rank <= 2", _SCORED,
 )
 register(
@@ -95,7 +108,7 @@ register(
 
 
 def _audited(s, d, rules) -> DataFrame:
-    best = kb.top_leaves(kb.score(_leaves(s, d), _questions(s, d), rules), 1).where("score > 0").select("qid", F.array_join("path", ".").alias("path"), "value")
+    best = kb.top_leaves(_scored(s, d, rules), 1).where("score > 0").select("qid", F.array_join("path", ".").alias("path"), "value")
     return _questions(s, d).select("qid").join(best, "qid", "left").select("qid", F.coalesce("path", F.lit("-")).alias("path"), F.coalesce("value", F.lit("no answer")).alias("answer"))
 
 
@@ -193,14 +206,23 @@ register(
     "SELECT o_custkey AS entity, 'games.' || o_orderkey AS node, 'hm' || (o_orderkey % 7) || ' hn' || (o_orderkey % 7) AS home, 'am' || (o_orderkey % 7 + 1) || ' an' || (o_orderkey % 7 + 1) AS away FROM orders",
 )
 register(
-    "deepest_prefix", "entity:s ord node:s", lambda s, d: kb.deepest_prefix(_leaves(s, d), _nodes(s, d)).withColumn("node", F.array_join("node", ".")),
+    "deepest_prefix", "entity:s ord node:s", lambda s, d: _deepest(s, d).withColumn("node", F.array_join("node", ".")),
     "SELECT qid AS entity, ord, node FROM leaves LEFT JOIN (SELECT p_partkey AS k, unnest(['splits', 'splits.month', 'splits.month.june', 'info']) AS node FROM part) ON k = qid AND starts_with(array_to_string(path, '.') || '.', node || '.') QUALIFY row_number() OVER (PARTITION BY qid, ord ORDER BY length(node) DESC NULLS LAST) = 1", _SCORED,
 )
 
 
-def _nodes(s, d) -> DataFrame:
+def _nodes_of(parts: DataFrame) -> DataFrame:
     nodes = F.array(*[F.array(*map(F.lit, n)) for n in (["splits"], ["splits", "month"], ["splits", "month", "june"], ["info"])])
-    return table(s, d, "part").select(F.col("p_partkey").cast("string").alias("entity"), F.explode(nodes).alias("node"))
+    return parts.select("entity", F.explode(nodes).alias("node"))
+
+
+def _nodes(s, d) -> DataFrame:
+    return _nodes_of(_parts(s, d))
+
+
+def _deepest(s, d) -> DataFrame:
+    parts, n = kb.dealt(_parts(s, d), len(LEAVES))
+    return kb.deepest_prefix(_leaves_of(parts), _nodes_of(parts), tasks=n)
 
 
 register(

@@ -92,6 +92,31 @@ def test_leaves_of_a_task_are_bounded(spark, monkeypatch):
     assert kb.deepest_prefix(leaves, lk._nodes(spark, SF))._jdf.queryExecution().sparkPlan().toString().count("REPARTITION_BY_NUM") == 2
 
 
+def _exchanges(plan, found):
+    """The shuffles of a final physical plan, each with whether rows were multiplied below it before another shuffle."""
+    name = plan.getClass().getSimpleName()
+    if name in ("AdaptiveSparkPlanExec", "ShuffleQueryStageExec"):
+        return _exchanges(plan.executedPlan() if name.startswith("Adaptive") else plan.plan(), found)
+    below = [_exchanges(plan.children().apply(i), found) for i in range(plan.children().size())]
+    if name == "ShuffleExchangeExec":
+        found.append(any(below))
+        return False
+    return name == "GenerateExec" or any(below)
+
+
+def test_parts_are_dealt_before_their_leaves_are_made(spark, monkeypatch):
+    queries = registry.queries()
+    rows = lambda q: sorted(map(str, queries[q](spark, SF).collect()))
+    names = ["leaf_topk", "score_margin", "audit_diff", "additive_rules", "deepest_prefix"]
+    one = [rows(q) for q in names]
+    monkeypatch.setattr(kb, "LEAVES_A_TASK", 100)
+    assert one == [rows(q) for q in names] and all(one)
+    for df in (lk._scored(spark, SF), lk._deepest(spark, SF)):
+        found = []
+        _exchanges(df._jdf.queryExecution().executedPlan(), found)
+        assert found == [False, False] + [True] * ("score" in df.columns)  # leaves aren't shuffled before they have met; then by question
+
+
 def _norms(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
 
