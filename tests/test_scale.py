@@ -117,6 +117,33 @@ def test_parts_are_dealt_before_their_leaves_are_made(spark, monkeypatch):
         assert found == [False, False] + [True] * ("score" in df.columns)  # leaves aren't shuffled before they have met; then by question
 
 
+def _widths(plan, widths):
+    """Numbers of partitions of the shuffles of a final physical plan, each with that of the shuffle below it, None for a file."""
+    name = plan.getClass().getSimpleName()
+    if name in ("AdaptiveSparkPlanExec", "ShuffleQueryStageExec"):
+        return _widths(plan.executedPlan() if name.startswith("Adaptive") else plan.plan(), widths)
+    below = [_widths(plan.children().apply(i), widths) for i in range(plan.children().size())]
+    if name == "ShuffleExchangeExec":
+        widths.append((plan.outputPartitioning().numPartitions(), *below))
+        return widths[-1][0]
+    return below[0] if below else None
+
+
+def test_files_are_dealt_into_few_partitions_first(spark, monkeypatch):
+    queries = registry.queries()
+    rows = lambda q: sorted(map(str, queries[q](spark, SF).collect()))
+    names = ["leaf_topk", "deepest_prefix"]
+    one = [rows(q) for q in names]
+    monkeypatch.setattr(kb, "LEAVES_A_TASK", 7)
+    n = -(-8 * lk._parts(spark, SF).count() // 7)
+    assert n > 200 and one == [rows(q) for q in names] and all(one)
+    leaves, qs = lk._leaves(spark, SF), lk._questions(spark, SF)
+    for df in (lk._scored(spark, SF), lk._deepest(spark, SF), kb.score(leaves, qs), kb.deepest_prefix(leaves, lk._nodes(spark, SF))):
+        widths = []
+        _widths(df._jdf.queryExecution().executedPlan(), widths)
+        assert widths == [(200, None), (n, 200)] * 2 + [(n, n)] * ("score" in df.columns)  # a task that holds its rows reads no file
+
+
 def _norms(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
 
