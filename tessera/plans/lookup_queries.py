@@ -61,9 +61,18 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6
 one AS (SELECT qid, value, count(*) AS n_paths, min(rank) AS rank, arg_min(path, rank) AS path, arg_min(score, rank) AS score FROM ranked WHERE rank <= 4 GROUP BY 1, 2),"""
 
 
-def _scored(s, d, rules: list | None = None) -> DataFrame:
+def _scored_in(s, d, rules: list | None = None) -> tuple[DataFrame, int]:
     parts, n = kb.dealt(_parts(s, d), len(LEAVES))
-    return kb.score(_leaves_of(parts), _questions_of(parts), rules, tasks=n)
+    return kb.score(_leaves_of(parts), _questions_of(parts), rules, tasks=n), n
+
+
+def _scored(s, d, rules: list | None = None) -> DataFrame:
+    return _scored_in(s, d, rules)[0]
+
+
+def _answers(s, d) -> DataFrame:
+    scored, n = _scored_in(s, d)
+    return kb.answers(scored, _questions(s, d), tasks=n)
 
 
 def _dotted(df: DataFrame) -> DataFrame:
@@ -78,7 +87,7 @@ register(
 )
 register("value_collapse", "qid value:s n_paths rank path:s score:f", lambda s, d: kb.collapse(kb.top_leaves(_scored(s, d), 4)), "SELECT * FROM one", _SCORED)
 register(
-    "leaf_answers", "qid answer:s", lambda s, d: kb.answers(_scored(s, d), _questions(s, d)),
+    "leaf_answers", "qid answer:s", _answers,
     "SELECT asked.qid, coalesce(value, 'no answer') AS answer FROM asked LEFT JOIN (SELECT qid, value FROM ranked WHERE rank = 1 AND score > 0) USING (qid)", _SCORED,
 )
 register(
@@ -108,8 +117,9 @@ register(
 
 
 def _audited(s, d, rules) -> DataFrame:
-    best = kb.top_leaves(_scored(s, d, rules), 1).where("score > 0").select("qid", F.array_join("path", ".").alias("path"), "value")
-    return _questions(s, d).select("qid").join(best, "qid", "left").select("qid", F.coalesce("path", F.lit("-")).alias("path"), F.coalesce("value", F.lit("no answer")).alias("answer"))
+    scored, n = _scored_in(s, d, rules)
+    best = kb.top_leaves(scored, 1).where("score > 0").select("qid", F.array_join("path", ".").alias("path"), "value")
+    return kb.asked(_questions(s, d), best, n).select("qid", F.coalesce("path", F.lit("-")).alias("path"), F.coalesce("value", F.lit("no answer")).alias("answer"))
 
 
 # names of teams and players

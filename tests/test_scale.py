@@ -144,6 +144,18 @@ def test_files_are_dealt_into_few_partitions_first(spark, monkeypatch):
         assert widths == [(200, None), (n, 200)] * 2 + [(n, n)] * ("score" in df.columns)  # a task that holds its rows reads no file
 
 
+def test_questions_are_dealt_into_few_partitions_first(spark, monkeypatch):
+    queries = registry.queries()
+    rows = lambda: sorted(map(str, queries["leaf_answers"](spark, SF).collect()))
+    one = rows()
+    monkeypatch.setattr(kb, "LEAVES_A_TASK", 7)
+    assert one == rows() and one
+    for df in (queries["leaf_answers"](spark, SF), lk._audited(spark, SF, [])):
+        widths = []
+        _widths(df._jdf.queryExecution().executedPlan(), widths)
+        assert [w for w in widths if w[0] > 200 and w[1] is None] == [] and len(widths) == 7
+
+
 def _norms(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
 
